@@ -148,7 +148,7 @@ def _joined(found: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """text without the words of the spans and what stands between them."""
-    at = [m.span() for m in WORD.finditer(text)]
+    at = [m.span() for m in WORD.finditer(text.lower())]
     out, since = [], 0
     for a, b in spans:
         out.append(text[since : at[a][0]])
