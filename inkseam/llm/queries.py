@@ -7,6 +7,8 @@ from importlib import import_module
 #: query name -> module; the module has a function of that name and, where SQL can say it, ORACLE.
 QUERIES = {
     "op4_sentencepiece": "sentencepiece_merge",
+    "op5_warc": "warc",
+    "op7_url_filter": "url_filter",
     "op8_quality_rules": "quality_rules",
     "op10_decontamination": "decontaminate",
 }
