@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": "warc",
     "op7_url_filter": "url_filter",
     "op8_quality_rules": "quality_rules",
+    "op9_minhash": "minhash",
     "op10_decontamination": "decontaminate",
 }
 
