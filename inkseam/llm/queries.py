@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module; the module has a function of that name and, where SQL can say it, ORACLE.
 QUERIES = {
     "op1_lm_scoring": "lm_scoring",
+    "op2_suffix_dedup": "suffix_dedup",
     "op3_toxicity": "toxicity",
     "op4_sentencepiece": "sentencepiece_merge",
     "op5_warc": "warc",
