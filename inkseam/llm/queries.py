@@ -11,6 +11,7 @@ QUERIES = {
     "op3_toxicity": "toxicity",
     "op4_sentencepiece": "sentencepiece_merge",
     "op5_warc": "warc",
+    "op6_quality_classifier": "weak_quality",
     "op7_url_filter": "url_filter",
     "op8_quality_rules": "quality_rules",
     "op9_minhash": "minhash",
