@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkseam.llm.common import row_key
+
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A document losing more than this percentage of its signs to failing lines is rejected.
 MAX_LOST_PERCENT = 50
@@ -98,7 +100,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their failing lines; n_chars follows the text where it changed."""
-    out = judge(docs).where("qr_kept")
+    # the row number is not deterministic, so the filter stays where it is: pushed down, it would hold every step's
+    # expression in itself, each as often as the next one names it
+    out = judge(docs).withColumn("qr_row", row_key()).where("qr_kept AND qr_row >= 0")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.expr("CASE WHEN qr_lost_chars > 0 THEN CAST(char_length(qr_text) AS BIGINT) ELSE n_chars END"))
     return out.withColumn("text", F.col("qr_text")).select(*docs.columns)
