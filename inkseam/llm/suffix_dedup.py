@@ -196,9 +196,12 @@ def mark(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) ->
     every = stored(_contexts(texts, width), "sd-contexts")
     sure = every.where("state = 9").select("row", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("windows")).cast("long").alias("end"))
     every = every.where("state < 9")
-    kinds = every.groupBy("key", "d1", "d2").agg(F.count("*").alias("times"), F.max("state").alias("state"), F.first(F.struct("row", "lo", "windows")).alias("one"))
+    # most keys stand once: only rows of the others are looked at again
+    met = every.groupBy("key").agg(F.count("*").alias("n"), F.max(F.when(F.col("state") == 1, 1).otherwise(0)).alias("inner")).where("n > 1 OR inner = 1").select("key")
+    every = stored(every.join(met, "key", "left_semi"), "sd-met")
+    kinds = every.groupBy("key", "d1", "d2").agg(F.count("*").alias("times"), F.max(F.when(F.col("state") == 1, 1).otherwise(0)).alias("inner"), F.first(F.struct("row", "lo", "windows")).alias("one"))
     kinds = stored(kinds, "sd-kinds")
-    keys = kinds.groupBy("key").agg(F.count("*").alias("different"), F.sum(F.col("one.windows") + F.lit(width)).alias("bytes"), F.max(F.when(F.col("state") == 1, 1).otherwise(0)).alias("inner")).where("different > 1 OR inner = 1")
+    keys = kinds.groupBy("key").agg(F.count("*").alias("different"), F.sum(F.col("one.windows") + F.lit(width)).alias("bytes"), F.max("inner").alias("inner")).where("different > 1 OR inner = 1")
     whole = every.join(kinds.where("times > 1").select("key", "d1", "d2"), ["key", "d1", "d2"], "left_semi")
     whole = whole.select("row", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("windows") - 1 + width).cast("long").alias("end"))
     asked = kinds.join(keys, "key").select("one.row", "key", "one.lo", "one.windows", "bytes", (F.col("times") == 1).alias("single"))
