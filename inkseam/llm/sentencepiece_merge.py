@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from inkseam.llm.common import widened
 
@@ -268,7 +269,7 @@ def encode(docs: DataFrame, model_path: str, ids: bool = True) -> DataFrame:
     repeated ids and extra columns change nothing; columns of docs with these names are replaced. model_path is a file
     that every node has.
     """
-    made = {"sp_n_tokens": "long", "sp_ids_sha256": "string", "sp_decoded_sha256": "string"} | ({"sp_ids": "array<int>", "sp_decoded": "string"} if ids else {})
+    made = {"sp_n_tokens": "long", "sp_ids_sha256": "string", "sp_decoded_sha256": "string"} | ({"sp_ids": T.ArrayType(T.IntegerType()), "sp_decoded": "string"} if ids else {})
     docs = docs.drop("sp_n_tokens", "sp_ids_sha256", "sp_decoded_sha256", "sp_ids", "sp_decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
