@@ -175,6 +175,17 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             return df.withColumn(name, F.col(on))
         return df.join(labels.select(F.col("key").alias(on), F.col("label").alias(name)), on, "left").withColumn(name, F.coalesce(name, on))
 
+    # first each class meets one leader only, the least and then the greatest of those of its lists: in a tight group
+    # that already makes one component, and its lists go
+    for extreme in (F.min, F.max):
+        heads = active.groupBy("post").agg(extreme("key").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
+        met = active.join(heads, "post").groupBy(F.col("key").alias("a")).agg(extreme("b").alias("b")).where("a <> b")
+        linked = stored(_verified(met, classes, sets, percent).where("linked").select("a", "b"), "mh-heads")
+        links = [linked if not links else links[0].unionByName(linked)]
+        labels = components(links[0])
+        links = [labels.select(F.col("key").alias("a"), F.col("label").alias("b")).where("a <> b")]
+        several = labelled(active, "key", "label").groupBy("post").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("post")
+        active = stored(active.join(several, "post", "left_semi"), "mh-lists")
     for _ in range(ROUNDS):
         leaders = active.groupBy("post").agg(F.min("key").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
         lists = stored(active.join(leaders, "post").where("key <> b").select("post", F.col("key").alias("a"), "b"), "mh-star")
@@ -182,7 +193,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             break
         found = stored(_verified(lists.select("a", "b").distinct(), classes, sets, percent), "mh-found")
         links.append(found.where("linked").select("a", "b"))
-        labels = components(links[0] if len(links) == 1 else links[0].unionByName(links[1]))
+        labels = components(links[0].unionByName(links[1]))
         links = [labels.select(F.col("key").alias("a"), F.col("label").alias("b")).where("a <> b")]
         # members that the leader doesn't link, and lists that still hold several components
         judged = lists.join(found.select("a", "b", "linked", "far"), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
