@@ -111,27 +111,44 @@ def _named(t: np.ndarray, s_type: np.ndarray, sa: np.ndarray, lms: np.ndarray) -
     return names[lms], int(names[order[-1]]) + 1
 
 
-#: Below this length, or with more signs than length over eight, comparison by doubling is quicker than buckets.
+#: Below this length, or with more signs than a 64th of the length, comparison by doubling is quicker than buckets.
 _FEW = 64
 
 
 def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling; for reduced texts whose alphabet is too wide for buckets."""
+    """Suffix array by doubling; for reduced texts whose alphabet is too wide for buckets.
+
+    A suffix's rank is the number of suffixes in smaller groups, so a group that has become one suffix is done and is not
+    sorted again.
+    """
     n = len(t)
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(t, kind="stable")
+    signs = t[order]
+    starts = np.flatnonzero(np.append(True, signs[1:] != signs[:-1]))
+    sizes = np.diff(np.append(starts, n))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(starts, sizes)
+    open_ = order[np.repeat(sizes > 1, sizes)]
     step = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.append(0, sorted_key[1:] != sorted_key[:-1]))
-        rank = new
-        if rank[order[-1]] == n - 1:
-            return order
+    while len(open_):
+        second = np.zeros(len(open_), np.int64)
+        inside = open_ + step < n
+        second[inside] = rank[open_[inside] + step] + 1
+        first = rank[open_]
+        key = first * (n + 1) + second
+        by = np.argsort(key, kind="stable")
+        open_, first, key = open_[by], first[by], key[by]
+        at = np.arange(len(open_))
+        new_key = np.append(True, key[1:] != key[:-1])
+        head = np.maximum.accumulate(np.where(new_key, at, 0))
+        group = np.maximum.accumulate(np.where(np.append(True, first[1:] != first[:-1]), at, 0))
+        rank[open_] = first + head - group
+        sizes = np.diff(np.append(np.flatnonzero(new_key), len(open_)))
+        open_ = open_[np.repeat(sizes > 1, sizes)]
         step *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -141,7 +158,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         return np.arange(n)
     t = np.asarray(t, np.int64)
     k = int(t.max()) + 1
-    if n < _FEW or k > max(256, n // 8):
+    if n < _FEW or k > max(256, n // 64):
         return _doubled(t)
     bounds = np.append(0, np.cumsum(np.bincount(t, minlength=k)))
     s_type = _types(t)
