@@ -15,15 +15,25 @@ def ranked(run: DataFrame) -> DataFrame:
 
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """(qid, rank, grade) of ranked documents with a judgment; only judged queries."""
-    return ranked(run).join(qrels, ["qid", "ext_id"]).select("qid", "rank", "grade")
+    """(qid, rank, grade) of ranked documents with a judgment; judgments without qid hold for every query."""
+    return ranked(run).join(qrels, [c for c in ("qid", "ext_id") if c in qrels.columns]).select("qid", "rank", "grade")
 
 
-def per_query(run: DataFrame, qrels: DataFrame, ndcg_at: int = 10, recall_at: tuple[int, ...] = (100, 1000), mrr_at: int = 10) -> DataFrame:
-    """One row for each judged query: ndcg, recalls and reciprocal rank; 0 where nothing is found or nothing is relevant."""
+def per_query(run: DataFrame, qrels: DataFrame, ndcg_at: int = 10, recall_at: tuple[int, ...] = (100, 1000), mrr_at: int = 10, queries: DataFrame | None = None) -> DataFrame:
+    """One row for each judged query: ndcg, recalls and reciprocal rank; 0 where nothing is found or nothing is relevant.
+
+    Judgments (ext_id, grade) without qid hold for each of queries (qid); their ideal is then counted once.
+    """
     gain = F.when((F.col("grade") >= RELEVANT) & (F.col("rank") <= ndcg_at), F.col("grade") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
-    best = qrels.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"), "ext_id")))
-    ideal = best.groupBy("qid").agg(F.sum(gain).alias("ideal"), F.count_if(F.col("grade") >= RELEVANT).alias("relevant"))
+    relevant = F.count_if(F.col("grade") >= RELEVANT).alias("relevant")
+    if queries is None:
+        best = qrels.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"), "ext_id")))
+        ideal = best.groupBy("qid").agg(F.sum(gain).alias("ideal"), relevant)
+    else:
+        # ndcg_at rows at most are ranked
+        best = qrels.orderBy(F.desc("grade"), "ext_id").limit(ndcg_at).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("grade"), "ext_id")))
+        once = best.agg(F.sum(gain).alias("ideal")).crossJoin(qrels.agg(relevant, F.count("*").alias("n"))).where("n > 0").drop("n")
+        ideal = queries.select("qid").distinct().crossJoin(F.broadcast(once))
     got = judged(run, qrels).groupBy("qid").agg(
         F.sum(gain).alias("gained"),
         *[F.count_if((F.col("grade") >= RELEVANT) & (F.col("rank") <= k)).alias(f"hits{k}") for k in recall_at],
@@ -38,9 +48,9 @@ def per_query(run: DataFrame, qrels: DataFrame, ndcg_at: int = 10, recall_at: tu
     )
 
 
-def summary(run: DataFrame, qrels: DataFrame) -> DataFrame:
+def summary(run: DataFrame, qrels: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """One row: number of judged queries and the mean of each metric over them."""
-    rows = per_query(run, qrels)
+    rows = per_query(run, qrels, queries=queries)
     return rows.agg(F.count("*").alias("queries"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in rows.columns[1:]])
 
 

@@ -14,6 +14,7 @@ from inkseam.operators import evaluate, index
 from inkseam.plans import retrieval
 from inkseam.sources.corpus import run_lines
 
+#: Items of the SQL for judged queries, which is older than their whole job; the queries take all items.
 JUDGED_ITEMS = 10
 TERMS = ("thand", "ing", "of", "tion", "erth")
 SINGLE = "The thing's tioning, erth and erth reading"
@@ -190,14 +191,18 @@ def result_json(spark, sf_dir):
 
 
 def _qrels(spark, sf_dir):
-    judged = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("string").alias("ext_id"), F.col("quality").cast("int").alias("grade"))
-    # a fixed, small set of query ids stands before each judgment
-    ids = F.explode(F.array(*[F.lit(str(i)) for i in range(JUDGED_ITEMS)]))
-    return judged.select(ids.alias("qid"), "ext_id", "grade")
+    """(ext_id, grade), the same for every benchmark item."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("string").alias("ext_id"), F.col("quality").cast("int").alias("grade"))
+
+
+def _judged(spark, sf_dir):
+    """All benchmark items with an id, if there are judgments."""
+    some = _qrels(spark, sf_dir).limit(1)
+    return _items(spark, sf_dir).where("qid IS NOT NULL").join(F.broadcast(some), F.lit(True), "left_semi")
 
 
 def judged_only(spark, sf_dir):
-    return evaluate.only_judged(_items(spark, sf_dir), _qrels(spark, sf_dir)).select("qid", "text")
+    return _judged(spark, sf_dir).select("qid", "text")
 
 
 def first_n_queries(spark, sf_dir):
@@ -205,8 +210,7 @@ def first_n_queries(spark, sf_dir):
 
 
 def _run(spark, sf_dir, k=1000):
-    queries = evaluate.only_judged(_items(spark, sf_dir), _qrels(spark, sf_dir))
-    found = retrieval.with_ids(_found(spark, sf_dir, "bmw", k, queries=queries), _index(spark, sf_dir))
+    found = retrieval.with_ids(_found(spark, sf_dir, "bmw", k, queries=_judged(spark, sf_dir)), _index(spark, sf_dir))
     return found.select("qid", "rank", "ext_id", F.round("score", 6).alias("score"))
 
 
@@ -219,11 +223,11 @@ def trec_eval_rank(spark, sf_dir):
 
 
 def _metric(spark, sf_dir, name):
-    return evaluate.per_query(_run(spark, sf_dir), _qrels(spark, sf_dir)).select("qid", F.round(name, 6).alias(name))
+    return evaluate.per_query(_run(spark, sf_dir), _qrels(spark, sf_dir), queries=_judged(spark, sf_dir)).select("qid", F.round(name, 6).alias(name))
 
 
 def eval_summary(spark, sf_dir):
-    rows = evaluate.summary(_run(spark, sf_dir), _qrels(spark, sf_dir))
+    rows = evaluate.summary(_run(spark, sf_dir), _qrels(spark, sf_dir), _judged(spark, sf_dir))
     return rows.select("queries", *[F.round(c, 6).alias(c) for c in rows.columns[1:]])
 
 
