@@ -1,8 +1,10 @@
 r"""Quality classifier from weak labels.
 
 Heuristic labellers vote good (1), bad (-1) or abstain (0) on every document. All documents' vote patterns are counted,
-and expectation-maximisation over the counts estimates how accurate each labeller is; no given label is used. The posteriors then are the targets of a linear scorer over hashed words, word
-shapes and text statistics, trained on a bounded sample of documents taken in the order of a hash.
+and expectation-maximisation over the counts estimates how often each labeller is right on good and on bad documents and
+the share of good ones; no given label is used. Labellers overlap: what one sees alone among votes of good is doubted. The
+posteriors then are the targets of a linear scorer over hashed words, word shapes and text statistics, trained on a bounded
+sample of documents taken in the order of a hash.
 """
 
 from __future__ import annotations
@@ -23,8 +25,13 @@ SAMPLE_ROWS = 4_000
 BUCKETS, ROW_FEATURES = 1 << 15, 2_000
 EPOCHS = 6
 THRESHOLD = 0.5
-#: Accuracy of a labeller before anything is known of it, and the share of good documents.
-START, PRIOR = 0.97, 0.8
+#: Before anything is known: a labeller's accuracy on good documents and, one start each, on bad ones; the share of good ones.
+START, STARTS, PRIOR = 0.95, (0.2, 0.5, 0.8), 0.8
+#: What is assumed counts as so many documents, whatever the corpus has.
+ASSUMED = 2.0
+_SPACE = b" \t\n\r\v\f"
+_LETTERS = bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
+_ENDS = frozenset(_LETTERS + b".,;:!?\"')")
 
 
 def _measures(text: bytes) -> dict[str, float]:
@@ -34,6 +41,7 @@ def _measures(text: bytes) -> dict[str, float]:
     pairs = Counter(zip(words, words[1:], words[2:], words[3:]))
     again = sum(k for k in pairs.values() if k > 1)
     size = max(len(text), 1)
+    solid = text.translate(None, _SPACE)
     return {
         "words": len(words),
         "symbols": sum(text.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")) / n,
@@ -44,54 +52,72 @@ def _measures(text: bytes) -> dict[str, float]:
         "stops": sum(text.count(c) for c in (b". ", b".\n", b"! ", b"? ")) / n + (text.rstrip()[-1:] in (b".", b"!", b"?")) / n,
         "mean": sum(map(len, words)) / n,
         "upper": sum(w.isupper() and len(w) > 1 for w in words) / n,
+        "letters": 1 - len(solid.translate(None, _LETTERS)) / max(len(solid), 1),
+        "ends": sum(w[-1] in _ENDS for w in words) / n,
         "digits": sum(text.count(str(d).encode()) for d in range(10)) / size,
     }
 
 
 #: name -> vote. Each abstains where it can't tell.
 LABELLERS = {
-    "length": lambda m: -1 if m["words"] < 10 else 0,
-    "symbols": lambda m: -1 if m["symbols"] > 0.25 else 0,
-    "shouts": lambda m: -1 if m["shouts"] > 0.15 else 0,
-    "repeats": lambda m: -1 if m["again"] > 0.4 and m["words"] >= 40 else 0,
-    "lines": lambda m: -1 if m["lines"] > 0.5 and m["words"] >= 40 else 0,
-    "variety": lambda m: (-1 if m["kinds"] < 0.1 else 0) if m["words"] >= 50 else 0,
-    "sentences": lambda m: -1 if m["stops"] < 0.005 else 0,
-    "case": lambda m: -1 if m["upper"] > 0.5 else 0,
-    "word_size": lambda m: -1 if m["mean"] < 2 or m["mean"] > 25 else 0,
+    "length": lambda m: -1 if m["words"] < 10 else int(m["words"] >= 50),
+    "symbols": lambda m: -1 if m["symbols"] > 0.25 else int(m["symbols"] < 0.05),
+    "shouts": lambda m: -1 if m["shouts"] > 0.15 else int(m["shouts"] < 0.03),
+    "repeats": lambda m: (-1 if m["again"] > 0.4 else int(m["again"] < 0.1)) if m["words"] >= 40 else 0,
+    "lines": lambda m: (-1 if m["lines"] > 0.5 else int(m["lines"] < 0.1)) if m["words"] >= 40 else 0,
+    "variety": lambda m: (-1 if m["kinds"] < 0.1 else int(m["kinds"] > 0.3)) if m["words"] >= 50 else 0,
+    "sentences": lambda m: -1 if m["stops"] < 0.005 else int(0.02 <= m["stops"] <= 0.25),
+    "case": lambda m: -1 if m["upper"] > 0.5 else int(m["upper"] < 0.1),
+    "word_size": lambda m: -1 if m["mean"] < 2 or m["mean"] > 25 else int(3 <= m["mean"] <= 10),
+    "letters": lambda m: -1 if m["letters"] < 0.7 else int(m["letters"] > 0.9),
+    "ends": lambda m: -1 if m["ends"] < 0.6 else int(m["ends"] > 0.9),
 }
 
 
-def votes(text: bytes) -> list[int]:
-    m = _measures(text)
+def _votes(m: dict[str, float]) -> list[int]:
     return [f(m) for f in LABELLERS.values()]
 
 
-def label_model(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> dict[tuple[int, ...], float]:
-    """Posterior of good for each vote pattern: expectation-maximisation for conditionally independent labellers."""
+def votes(text: bytes) -> list[int]:
+    return _votes(_measures(text))
+
+
+def label_model(patterns: dict[tuple[int, ...], int], rounds: int = 500) -> dict[tuple[int, ...], float]:
+    """Posterior of good for each vote pattern: expectation-maximisation for conditionally independent labellers.
+
+    A labeller that votes is right on good documents and on bad ones with a chance of its own; abstentions say nothing.
+    Of several starts the likeliest end is taken.
+    """
     if not patterns:
         return {}
     v = np.array(list(patterns), np.int64)
     times = np.array(list(patterns.values()), float)
-    k = v.shape[1]
-    # votes are right or wrong, abstentions say nothing; accuracies start alike and stay better than chance
-    right, good = np.full(k, START), PRIOR  # where all abstain nothing but the prior speaks, so it can't be estimated
-    for _ in range(rounds):
-        log = (v * np.log(right / (1 - right))).sum(axis=1) + np.log(good / (1 - good))
-        posterior = 1 / (1 + np.exp(-np.clip(log, -50, 50)))
-        voted = ((v != 0) * times[:, None]).sum(axis=0)
-        agreed = (np.where(v > 0, posterior[:, None], np.where(v < 0, 1 - posterior[:, None], 0)) * times[:, None]).sum(axis=0)
-        # a labeller that overlaps with no other tells nothing of itself, so what was assumed counts as three times its votes
-        right = np.clip((agreed + 3 * voted * START + START) / (4 * voted + 1), 0.7, 0.99)
-    log = (v * np.log(right / (1 - right))).sum(axis=1) + np.log(good / (1 - good))
-    return dict(zip(patterns, (1 / (1 + np.exp(-np.clip(log, -50, 50)))).tolist()))
-
-
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    up, down = (v > 0).astype(float), (v < 0).astype(float)
+    best = None
+    for start in STARTS:
+        passed, caught, good = np.full(v.shape[1], START), np.full(v.shape[1], start), PRIOR
+        for _ in range(rounds):
+            as_good = np.log(good) + up @ np.log(passed) + down @ np.log(1 - passed)
+            as_bad = np.log(1 - good) + up @ np.log(1 - caught) + down @ np.log(caught)
+            posterior = 1 / (1 + np.exp(np.clip(as_bad - as_good, -50, 50)))
+            w, u = posterior * times, (1 - posterior) * times
+            before = np.concatenate([passed, caught, [good]])
+            passed = (w @ up + ASSUMED * START) / (w @ (up + down) + ASSUMED)
+            caught = (u @ down + ASSUMED * start) / (u @ (up + down) + ASSUMED)
+            good = (w.sum() + ASSUMED * PRIOR) / (times.sum() + ASSUMED)
+            if np.abs(np.concatenate([passed, caught, [good]]) - before).max() < 1e-9:
+                break
+        likely = float(times @ np.logaddexp(as_good, as_bad))
+        if best is None or likely > best[0]:
+            best = likely, posterior
+    return dict(zip(patterns, best[1].tolist()))
+
+
+def features(text: bytes, m: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: word shapes, short words, punctuation runs and coarse text statistics."""
     from xxhash import xxh3_64_intdigest
 
-    m = _measures(text)
+    m = _measures(text) if m is None else m
     n = max(m["words"], 1)
     counts: Counter = Counter()
     for w, k in Counter(text.split()).items():
@@ -163,8 +189,9 @@ def score(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         for batch in batches:
             out = []
             for text in text_bytes(batch):
-                v = votes(text)
-                at, x = features(text)
+                m = _measures(text)
+                v = _votes(m)
+                at, x = features(text, m)
                 s = float(1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -30, 30))))
                 out.append((v, known.get(tuple(v), 0.5), s, s >= THRESHOLD))
             made = [pa.array(c, t) for c, t in zip(zip(*out), (pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.bool_()))]
