@@ -113,8 +113,8 @@ def label_model(patterns: dict[tuple[int, ...], int], rounds: int = 500) -> dict
     return dict(zip(patterns, best[1].tolist()))
 
 
-def features(text: bytes, m: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features: word shapes, short words, punctuation runs and coarse text statistics."""
+def features(text: bytes, m: dict[str, float] | None = None, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features: word shapes, short words, punctuation runs and coarse text statistics; at most limit of the first three."""
     from xxhash import xxh3_64_intdigest
 
     m = _measures(text) if m is None else m
@@ -126,7 +126,7 @@ def features(text: bytes, m: dict[str, float] | None = None) -> tuple[np.ndarray
         counts[b"s" + (b"U" if core.isupper() else b"T" if core[:1].isupper() else b"l") + end] += k
         if len(core) <= 4:
             counts[b"w" + core.lower()] += k
-    sizes = {hash_: (k / n) ** 0.5 for hash_, k in counts.most_common(ROW_FEATURES)}
+    sizes = {hash_: (k / n) ** 0.5 for hash_, k in counts.most_common(limit)}
     for name in sorted(m):
         level = int(np.clip(np.round(np.log2(m[name] + 1e-3) * 2), -20, 40))
         sizes[f"m{name}{level}".encode()] = 1.0
@@ -176,7 +176,7 @@ def score(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch)
-            found = [features(t) for t in texts]
+            found = [features(t, limit=ROW_FEATURES) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("i"), pa.array([votes(t) for t in texts], pa.list_(pa.int32())), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in found], pa.binary())], names=["o", "i", "votes", "at", "x"])
 
     rows = sorted(chosen.mapInArrow(extract, "o long, i string, votes array<int>, at binary, x binary").dropDuplicates(["i"]).collect(), key=lambda r: (r.o, r.i))
