@@ -21,6 +21,8 @@ from inkseam.llm.common import crc_mod, text_bytes, widened
 
 #: The models are fitted on a sample of labelled rows: at most so many of each class, and so many characters in all.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 30_000_000
+#: A longer text teaches with its first ROW_CHARS characters, so that it doesn't use up its class's half.
+ROW_CHARS = 200_000
 DISCOUNT = 0.75
 #: Log odds of a word below this are taken as none.
 FLOOR = 3.0
@@ -104,11 +106,11 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: str) -> tuple[list, flo
         ids = part if ids is None else ids.unionByName(part)
     # at most 2 * SAMPLE_ROWS ids
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("o", order)
-    sizes = found.select("doc_id", "o", "toxic", F.coalesce(F.char_length("text"), F.lit(0)).alias("size"))
+    sizes = found.select("doc_id", "o", "toxic", F.least(F.coalesce(F.char_length("text"), F.lit(0)), F.lit(ROW_CHARS)).alias("size"))
     running = Window.partitionBy("toxic").orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     kept = [r.doc_id for r in sizes.withColumn("sum", F.sum("size").over(running)).where(F.col("sum") <= SAMPLE_CHARS // 2).select("doc_id").limit(4 * SAMPLE_ROWS).collect()]
     few = found.where(F.col("doc_id").isin(kept)) if len(kept) < 50 else found.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in set(kept)], "doc_id long")), "doc_id", "left_semi")
-    rows = few.select("doc_id", "o", "toxic", "text").dropDuplicates(["doc_id"]).collect()
+    rows = few.select("doc_id", "o", "toxic", F.substring("text", 1, ROW_CHARS).alias("text")).dropDuplicates(["doc_id"]).collect()
     return sorted(rows, key=lambda r: (r.o, r.doc_id)), share
 
 
