@@ -44,7 +44,7 @@ STAGES = [
     ("sentencepiece", token_ids),
 ]
 
-#: SQL can express neither the suffix arrays nor the tokenizer; tests hold run() against brute force.
+#: SQL can express neither the suffix arrays nor the tokenizer. Tests hold the operators against brute force, but not run().
 ORACLE_SQL = None
 
 
