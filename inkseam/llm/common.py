@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +14,15 @@ from pyspark.sql import types as T
 
 #: ASCII white space, as every contract of this package writes it.
 SPACE = r"\x20\x09-\x0D"
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or a temporary one where it is unset and Spark is local (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="inkseam-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -45,7 +49,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stored() wrote; nothing may read these tables any more."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            remove(df.sparkSession, path)
 
 
 def row_key() -> Column:

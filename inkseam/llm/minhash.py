@@ -6,10 +6,15 @@ hold them, and only a prefix is joined: two classes that collide T times must me
 order, and the rarest-first order keeps out what many unrelated documents share. A class without T shared postings is
 skipped altogether.
 
-A posting list isn't expanded into pairs. Each list has a leader, all others are compared with it (collisions first, then
-the full shingle sets), and linked classes unite. Members that the leader doesn't link go on to a next round with a new
-leader, unless the whole list has become one component; of the pairs of linked and unlinked members only those are
-compared that the triangle inequality of the Jaccard distance leaves open. What a few rounds leave is compared pair by pair.
+A posting list isn't expanded into pairs. Each list has a leader, the class with the most collisions in the corpus, and
+every other member is compared with it, full set against full set; linked classes unite, and lists within one component
+are done. What is left are pairs of members x, y in different components. With the leader's set C known, widened by what
+most members share, |x & y| <= min(|x & C|, |y & C|) + |(x & y) - C|; so a pair either has its overlap mostly in C and sizes
+close to each other, or shares rare shingles outside of C. Members are posted anew under those shingles (again a prefix,
+by the overlap a link still needs) and under their sizes, and these narrower lists go to the next round. Once the pairs
+left in all lists are no more than the postings of the first round, they are compared one by one. Every pair that
+collides T times is thus linked, proven too far apart, or within one component. The one thing left to chance is the
+collisions: of two texts with similarity 0.8, fewer than T of K collide with a probability of 7.8e-7, and less above.
 """
 
 from __future__ import annotations
@@ -22,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkseam.llm.common import row_key, stored, text_bytes
+from inkseam.llm.common import discard, row_key, stored, text_bytes
 
-#: Coordinates, and collisions asked for. At a similarity of 0.8 fewer than T of K collide with a chance below 1e-6.
+#: Coordinates, and collisions asked for.
 K, T = 48, 24
-ROUNDS = 4
+#: Sizes within this factor share a list.
+STEP = 1.02
 #: Word hashes remembered by a worker.
 REMEMBERED = 500_000
 _MULTIPLIERS = (np.random.default_rng(20240229).integers(1, 1 << 63, K, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -129,26 +135,93 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(key, label) of the classes in links (a, b): the least key that can be reached; distributed, label by label."""
     edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "mh-edges")
-    labels = stored(edges.groupBy(F.col("a").alias("key")).agg(F.min(F.least("a", "b")).alias("label")), "mh-labels")
+    held = stored(edges.groupBy(F.col("a").alias("key")).agg(F.min(F.least("a", "b")).alias("new")), "mh-labels")
     while True:
+        labels = held.select("key", F.col("new").alias("label"))
         near = edges.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
         least = labels.join(near, "key").select("key", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("key").alias("new"), F.col("label").alias("further"))
         step = stored(least.join(jump, "new", "left").select("key", F.least("new", "further").alias("new"), "label"), "mh-labels")
         changed = step.where("new <> label").limit(1).count()
-        labels = step.select("key", F.col("new").alias("label"))
+        discard(held)
+        held = step
         if not changed:
-            return labels
+            discard(edges)
+            return held.select("key", F.col("new").alias("label"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) that collide T times, with both set sizes, the size of their intersection, and whether they link."""
-    sig = classes.select("key", "sig")
-    met = pairs.join(sig.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
-    met = met.where(F.size(F.array_intersect("sa", "sb")) >= T).select("a", "b")
-    full = met.join(sets.select(F.col("key").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("xb")), "b")
-    sized = full.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("both"))
-    return sized.withColumn("union", F.expr("na + nb - both")).withColumn("linked", F.expr(f"100L * both >= {percent}L * union")).withColumn("far", F.expr("1D - both / union"))
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, f, ...) with the sizes na and nf of both sets, of their intersection, what a has beyond f, and whether they link."""
+    full = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("key").alias("f"), F.col("set").alias("xf")), "f")
+    out = full.select(*pairs.columns, F.size("xa").cast("long").alias("na"), F.size("xf").cast("long").alias("nf"), F.array_except("xa", "xf").alias("rest"))
+    out = out.withColumn("both", F.col("na") - F.size("rest"))
+    return out.withColumn("linked", F.expr(f"100 * both >= {percent} * (na + nf - both)"))
+
+
+def _labelled(df: DataFrame, labels: DataFrame | None, on: str, name: str) -> DataFrame:
+    if labels is None:
+        return df.withColumn(name, F.col(on))
+    return df.join(labels.select(F.col("key").alias(on), F.col("label").alias(name)), on, "left").withColumn(name, F.coalesce(name, on))
+
+
+def _open(lists: DataFrame) -> DataFrame:
+    """The rows of lists (post, la, ...) whose list still holds several components."""
+    several = lists.groupBy("post").agg(F.min("la").alias("lo"), F.max("la").alias("hi")).where("lo <> hi").select("post")
+    return lists.join(several, "post", "left_semi")
+
+
+def _narrowed(star: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """The lists (post, key, cent, la, n, core, sized) in which pairs may still link, after all members met the leaders.
+
+    star: (f, a, cent, na, both, rest) of each member a and each leader f that it met. With `core` the part of a within the
+    widened set of the leader, a link of x and y needs an overlap of total(x, y), of which min(core) at most lies inside.
+    """
+
+    def total(x: str, y: str) -> str:
+        return f"(({percent} * ({x} + {y}) + {99 + percent}) DIV {100 + percent})"
+
+    member = _labelled(_labelled(star, labels, "a", "la"), labels, "f", "lf")
+    member = stored(member.select("f", "a", "cent", "na", "both", "la", (F.col("la") != F.col("lf")).alias("out"), "rest"), "mh-members")
+    family = member.groupBy("f").agg(F.max("out").alias("several"), F.min("na").alias("least"), F.count("*").alias("m")).where("several").drop("several")
+    family = stored(family, "mh-families")
+    open_ = member.join(family, "f")
+    beyond = stored(open_.select("f", "a", "la", F.explode("rest").alias("s")), "mh-beyond")
+    # shingles beyond the leader that most members have widen its set; of the others only those of several components matter
+    often = beyond.groupBy("f", "s").agg(F.count("*").alias("k"), F.min("la").alias("lo"), F.max("la").alias("hi")).where("k > 1").join(family, "f")
+    often = stored(often.where("2 * k > m OR lo <> hi").select("f", "s", "k", F.expr("2 * k > m").alias("core")), "mh-often")
+    shared = beyond.join(often, ["f", "s"]).groupBy("f", "a").agg(F.count_if("core").alias("wide"), F.collect_list(F.when(~F.col("core"), F.struct("k", "s"))).alias("rare"))
+    at = open_.select("f", "a", "cent", F.col("na").alias("n"), "both", "la", "out", "least").join(shared, ["f", "a"], "left")
+    at = at.withColumn("core", F.expr("both + coalesce(wide, 0)")).withColumn("lo", F.expr(f"greatest(({percent} * n + 99) DIV 100, least)"))
+    at = at.withColumn("need", F.expr(f"{total('lo', 'n')} - core"))
+    # the overlap outside is at least `need`: of that many rare shingles less one the last can't be the first to meet
+    prefix = "slice(array_sort(coalesce(rare, array())), 1, greatest(size(coalesce(rare, array())) - greatest(need, 1) + 1, 0))"
+    bucket = "CAST(floor(ln(greatest({}, 1)) / " + str(float(np.log(STEP))) + "D) AS BIGINT)"
+    most = f"least(100 * n DIV {percent}, {100 + percent} * core DIV {percent} - n)"
+    own = f"array({bucket.format('n')})"
+    # a member outside the leader's component also goes where smaller or larger partners may stand
+    visits = f"CASE WHEN need > 0 THEN array() WHEN out AND {most} >= lo THEN array_union({own}, sequence({bucket.format('lo')}, {bucket.format(most)})) ELSE {own} END"
+    posts = f"concat(transform({prefix}, p -> struct(xxhash64(f, 0, p.s) AS post, false AS sized)), transform({visits}, b -> struct(xxhash64(f, 1, b) AS post, true AS sized)))"
+    lists = at.select("a", "cent", "la", "n", "core", F.explode(F.expr(posts)).alias("p")).select("p.post", F.col("a").alias("key"), "cent", "la", "n", "core", "p.sized")
+    found = stored(lists, "mh-posted")
+    out = stored(_open(found), "mh-lists")
+    discard(member, family, beyond, often, found)
+    return out
+
+
+def _pairs_left(lists: DataFrame) -> int:
+    """Pairs of members of different components, over all lists."""
+    of = lists.groupBy("post", "la").agg(F.count("*").alias("k")).groupBy("post").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
+    return int(of.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0] or 0)
+
+
+def _last_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, f) of different components that are left in lists: members outside a list's largest component with all."""
+    largest = lists.groupBy("post", "la").agg(F.count("*").alias("k")).groupBy("post").agg(F.max_by("la", F.struct("k", "la")).alias("major"))
+    side = lists.join(stored(largest, "mh-major"), "post")
+    few = side.where("la <> major").select("post", F.col("key").alias("a"), F.col("la").alias("l1"), F.col("n").alias("n1"), F.col("core").alias("c1"))
+    every = side.select("post", F.col("key").alias("f"), F.col("la").alias("l2"), "major", F.col("n").alias("n2"), F.col("core").alias("c2"), "sized")
+    fits = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) AND (NOT sized OR {100 + percent} * least(c1, c2) >= {percent} * (n1 + n2))"
+    return few.join(every, "post").where(f"l1 <> l2 AND (l2 = major OR a < f) AND {fits}").select("a", "f").distinct()
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -156,76 +229,62 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Texts of fewer words than `width` are one shingle; null, empty and blank texts have no shingle, link with nothing and
     are kept. Equal rows are in one component; rows that repeat an id share what the id gets. Rows without id never are a
-    component's least id, and are kept only if their component has none. An empty table gives an empty result; extra
-    columns are ignored.
+    component's least id, and are kept only if their component has none. Very long texts are one row of as many shingles
+    as they have words, whole. An empty table gives an empty result; extra columns, whatever their names, are ignored.
     """
     rows = stored(sketches(docs, width), "mh-rows")
     classes = stored(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")), "mh-classes")
     posts = classes.select("key", F.explode("sig").alias("post"))
     often = posts.groupBy("post").agg(F.count("*").alias("df")).where("df > 1")
-    shared = posts.join(often, "post").groupBy("key").agg(F.collect_list(F.struct("df", "post")).alias("posts")).where(F.size("posts") >= T)
+    shared = posts.join(often, "post").groupBy("key").agg(F.collect_list(F.struct("df", "post")).alias("posts"), F.sum("df").alias("cent")).where(F.size("posts") >= T)
     # unshared postings come first in the order and meet nothing
-    active = stored(shared.select("key", F.explode(F.expr(f"slice(array_sort(posts), 1, size(posts) - {T} + 1)")).alias("p")).select("key", F.col("p.post").alias("post")), "mh-lists")
-    wanted = active.select("key").distinct()
-    sets = stored(shingle_sets(docs, classes.join(wanted, "key", "left_semi").select("key", "least"), width), "mh-sets")
-    links, labels = [], None
-
-    def labelled(df: DataFrame, on: str, name: str) -> DataFrame:
-        if labels is None:
-            return df.withColumn(name, F.col(on))
-        return df.join(labels.select(F.col("key").alias(on), F.col("label").alias(name)), on, "left").withColumn(name, F.coalesce(name, on))
-
-    # first each class meets one leader only, the least and then the greatest of those of its lists: in a tight group
-    # that already makes one component, and its lists go
-    for extreme in (F.min, F.max):
-        heads = active.groupBy("post").agg(extreme("key").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
-        met = active.join(heads, "post").groupBy(F.col("key").alias("a")).agg(extreme("b").alias("b")).where("a <> b")
-        linked = stored(_verified(met, classes, sets, percent).where("linked").select("a", "b"), "mh-heads")
-        links = [linked if not links else links[0].unionByName(linked)]
-        labels = components(links[0])
-        links = [labels.select(F.col("key").alias("a"), F.col("label").alias("b")).where("a <> b")]
-        several = labelled(active, "key", "label").groupBy("post").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("post")
-        active = stored(active.join(several, "post", "left_semi"), "mh-lists")
-    for _ in range(ROUNDS):
-        leaders = active.groupBy("post").agg(F.min("key").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
-        lists = stored(active.join(leaders, "post").where("key <> b").select("post", F.col("key").alias("a"), "b"), "mh-star")
-        if not lists.limit(1).count():
+    lists = shared.select("key", "cent", F.explode(F.expr(f"slice(array_sort(posts), 1, size(posts) - {T} + 1)")).alias("p")).select(F.col("p.post").alias("post"), "key", "cent")
+    lists = stored(lists, "mh-lists")
+    first, sets, links, labels = lists.count(), None, None, None
+    while True:
+        leaders = stored(lists.groupBy("post").agg(F.max(F.struct("cent", "key")).alias("top"), F.count("*").alias("k")).where("k > 1").select("post", F.col("top.key").alias("f")), "mh-leaders")
+        pairs = stored(lists.join(leaders, "post").where("key <> f").select(F.col("key").alias("a"), "f", "cent").distinct(), "mh-pairs")
+        if sets is None:
+            wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("f")).distinct()
+            sets = stored(shingle_sets(docs, classes.join(wanted, "key", "left_semi").select("key", "least"), width), "mh-sets")
+        star = stored(_measured(pairs, sets, percent), "mh-star")
+        found = star.where("linked").select("a", F.col("f").alias("b"))
+        links = stored(found if links is None else links.unionByName(found), "mh-links")
+        labels = components(links)
+        links = labels.select(F.col("key").alias("a"), F.col("label").alias("b")).where("a <> b")
+        narrow = _narrowed(star, labels, percent)
+        discard(lists, leaders, pairs, star)
+        lists, left = narrow, _pairs_left(narrow)
+        if left <= first:
             break
-        found = stored(_verified(lists.select("a", "b").distinct(), classes, sets, percent), "mh-found")
-        links.append(found.where("linked").select("a", "b"))
-        labels = components(links[0].unionByName(links[1]))
-        links = [labels.select(F.col("key").alias("a"), F.col("label").alias("b")).where("a <> b")]
-        # members that the leader doesn't link, and lists that still hold several components
-        judged = lists.join(found.select("a", "b", "linked", "far"), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-        judged = stored(labelled(labelled(judged, "a", "la"), "b", "lb"), "mh-judged")
-        several = judged.groupBy("post").agg(F.min("la").alias("x"), F.max("la").alias("y"), F.min("lb").alias("z")).where("x <> y OR x <> z").select("post")
-        judged = judged.join(several, "post", "left_semi")
-        near = judged.where("linked").select("post", F.col("a").alias("x"), "la", "far")
-        border = judged.where(f"NOT linked AND la <> lb AND far <= {2 * (1 - percent / 100) + 1e-9}").select("post", F.col("a").alias("y"), F.col("la").alias("ly"), F.col("far").alias("fy"))
-        crossed = near.join(border, "post").where(f"la <> ly AND fy <= far + {1 - percent / 100 + 1e-9}").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        late = stored(_verified(crossed, classes, sets, percent).where("linked").select("a", "b"), "mh-late")
+    if left:
+        pairs = stored(_last_pairs(lists, percent), "mh-pairs")
+        late = stored(_measured(pairs, sets, percent).where("linked").select("a", F.col("f").alias("b")), "mh-late")
         if late.limit(1).count():
-            links = [stored(links[0].unionByName(late), "mh-links")]
-            labels = components(links[0])
-        active = stored(judged.where("NOT linked").select(F.col("a").alias("key"), "post"), "mh-lists")
-    else:
-        left = labelled(active, "key", "label")
-        pairs = left.select("post", F.col("key").alias("a"), F.col("label").alias("la")).join(left.select("post", F.col("key").alias("b"), F.col("label").alias("lb")), "post").where("a < b AND la <> lb").select("a", "b").distinct()
-        late = stored(_verified(pairs, classes, sets, percent).where("linked").select("a", "b"), "mh-late")
-        if late.limit(1).count():
-            labels = components(links[0].unionByName(late))
-    label = labelled(classes.select("key", "least"), "key", "label")
+            labels = components(links.unionByName(late))
+    discard(lists, sets)
+    label = _labelled(classes.select("key", "least"), labels, "key", "label")
     least = label.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_class = label.join(least, "label").select("key", "component_id")
+    of_class = stored(label.join(least, "label").select("key", "component_id"), "mh-components")
+    discard(classes)
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("key", F.concat(F.lit("row:"), F.col("row").cast("string")).cast("binary")).alias("key"))
     out = out.join(of_class, "key", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """The rows of docs that link() keeps."""
-    kept = link(docs.select("doc_id", "text"), width, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs for each component of link(): that with its least id; of rows that repeat this id, any one of them.
+
+    Rows with a null, empty or blank text stay, as they link with nothing. All columns stay as they are.
+    """
+    kept = stored(link(docs.select("doc_id", "text"), width, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("k"), F.min("n_shingles").alias("n")), "mh-kept")
+    keep = kept.select(F.col("doc_id").alias("mh_id"))
+    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["mh_id"]), "left_semi")
+    twice = kept.where("k > 1 AND n > 0").select(F.col("doc_id").alias("mh_id"))
+    if not twice.limit(1).count():
+        return out
+    same = out["doc_id"].eqNullSafe(twice["mh_id"])
+    return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
