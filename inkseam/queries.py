@@ -14,8 +14,6 @@ from inkseam.operators import evaluate, index
 from inkseam.plans import retrieval
 from inkseam.sources.corpus import run_lines
 
-#: Items of the SQL for judged queries, which is older than their whole job; the queries take all items.
-JUDGED_ITEMS = 10
 TERMS = ("thand", "ing", "of", "tion", "erth")
 SINGLE = "The thing's tioning, erth and erth reading"
 
@@ -215,7 +213,7 @@ def _run(spark, sf_dir, k=1000):
 
 
 def trec_run(spark, sf_dir):
-    return run_lines(_run(spark, sf_dir, 10), "bm25").select("qid", "rank", F.regexp_replace("line", r"\d\d bm25$", "").alias("line"))
+    return run_lines(_run(spark, sf_dir, 10), "bm25").select("qid", "rank", "line")
 
 
 def trec_eval_rank(spark, sf_dir):
@@ -246,7 +244,7 @@ def pivot_terms(spark, sf_dir):
 def index_merge(spark, sf_dir):
     """Two halves indexed on their own and merged: the same postings as one index."""
     docs = _docs(spark, sf_dir)
-    n = docs.agg(F.max("doc_id")).first()[0] // 2
+    n = (docs.agg(F.max("doc_id")).first()[0] or 0) // 2
     halves = [analysis.with_words(docs.where(F.col("doc_id") <= n)), analysis.with_words(docs.where(F.col("doc_id") > n).withColumn("doc_id", F.col("doc_id") - n - 1))]
     merged = index.merge([index.invert(h.select("doc_id", "ext_id", "words")) for h in halves])
     return merged.postings.select("term", "doc_id", F.round("impact", 6).alias("impact"))
@@ -317,10 +315,10 @@ def _fixed(*rows: tuple[str, str]) -> str:
 
 
 _TOP = "SELECT qid, rank, doc_id, round(score, 6) AS score FROM top WHERE rank <= {}"
-_IDS = ", ".join(f"'{i}'" for i in range(JUDGED_ITEMS))
-_JUDGED = f"items AS (SELECT CAST(item_id AS VARCHAR) AS qid, text FROM benchmark WHERE CAST(item_id AS VARCHAR) IN ({_IDS}))"
-_EVAL = f""", qrels AS (SELECT q.qid, CAST(doc_id AS VARCHAR) AS ext_id, quality AS grade FROM labels, (SELECT unnest([{_IDS}]) AS qid) q),
-run AS (SELECT qid, ext_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ext_id DESC) AS rank FROM (SELECT qid, CAST(doc_id AS VARCHAR) AS ext_id, round(score, 6) AS score FROM top WHERE rank <= {{k}})),
+_ALL = "SELECT CAST(item_id AS VARCHAR) AS qid, text FROM benchmark WHERE item_id IS NOT NULL AND (SELECT count(*) FROM labels) > 0"
+_JUDGED = f"items AS ({_ALL})"
+_EVAL = """, qrels AS (SELECT q.qid, CAST(doc_id AS VARCHAR) AS ext_id, quality AS grade FROM labels, (SELECT DISTINCT qid FROM items) q),
+run AS (SELECT qid, ext_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ext_id DESC) AS rank FROM (SELECT qid, CAST(doc_id AS VARCHAR) AS ext_id, round(score, 6) AS score FROM top WHERE rank <= {k})),
 best AS (SELECT qid, grade, row_number() OVER (PARTITION BY qid ORDER BY grade DESC) AS rank FROM qrels),
 ideal AS (SELECT qid, sum(CASE WHEN grade >= 1 AND rank <= 10 THEN grade / log2(rank + 1) ELSE 0 END) AS ideal, count(*) FILTER (grade >= 1) AS relevant FROM best GROUP BY qid),
 got AS (SELECT qid, sum(CASE WHEN grade >= 1 AND rank <= 10 THEN grade / log2(rank + 1) ELSE 0 END) AS g, count(*) FILTER (grade >= 1 AND rank <= 100) AS h100, count(*) FILTER (grade >= 1 AND rank <= 1000) AS h1000, min(rank) FILTER (grade >= 1 AND rank <= 10) AS f FROM run JOIN qrels USING (qid, ext_id) GROUP BY qid),
@@ -366,9 +364,9 @@ def oracle_sql() -> dict[str, str]:
         "doc_range_seek": _sql(f"SELECT term, doc_id FROM p WHERE term IN ({terms}) AND doc_id >= 100"),
         "result_with_text": _sql("SELECT qid, rank, CAST(doc_id AS VARCHAR) AS ext_id, text AS body FROM top JOIN docs USING (doc_id) WHERE rank <= 3"),
         "result_json": _sql("""SELECT qid, '{"results":[' || string_agg('{"rank":' || rank || ',"id":"' || doc_id || '"}', ',' ORDER BY rank) || ']}' AS response FROM top WHERE rank <= 5 GROUP BY qid"""),
-        "judged_only": f"SELECT CAST(item_id AS VARCHAR) AS qid, text FROM benchmark WHERE CAST(item_id AS VARCHAR) IN ({_IDS})",
+        "judged_only": _ALL,
         "first_n_queries": "SELECT CAST(item_id AS VARCHAR) AS qid, text FROM benchmark ORDER BY 1 LIMIT 10",
-        "trec_run": _sql("SELECT qid, rank, concat_ws(' ', qid, 'Q0', CAST(doc_id AS VARCHAR), CAST(rank AS VARCHAR), left(printf('%.6f', round(score, 6)), -2)) AS line FROM top WHERE rank <= 10", _JUDGED),
+        "trec_run": _sql("SELECT qid, rank, concat_ws(' ', qid, 'Q0', CAST(doc_id AS VARCHAR), CAST(rank AS VARCHAR), printf('%.6f', round(score, 6)), 'bm25') AS line FROM top WHERE rank <= 10", _JUDGED),
         "trec_eval_rank": ev("SELECT qid, ext_id, CAST(rank AS INTEGER) AS rank FROM run", 100),
         "eval_summary": ev("SELECT count(*) AS queries, round(avg(ndcg10), 6) AS ndcg10, round(avg(recall100), 6) AS recall100, round(avg(recall1000), 6) AS recall1000, round(avg(mrr10), 6) AS mrr10 FROM m"),
         "latency_percentiles": "SELECT count(*) AS queries, round(avg(ns) / 1e6, 6) AS mean_ms, quantile_disc(ns, 0.5) / 1e6 AS p50_ms, quantile_disc(ns, 0.95) / 1e6 AS p95_ms, quantile_disc(ns, 0.99) / 1e6 AS p99_ms FROM (SELECT CAST(floor(value * 1000) AS BIGINT) AS ns FROM events)",
