@@ -54,18 +54,47 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def standing_for(table: DataFrame, df: DataFrame) -> DataFrame:
+    """df, a projection of a stored table; discarding it discards the table."""
+    _PATHS[df] = _PATHS.pop(table)
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what stored() wrote; nothing may read these tables any more."""
     for df in tables:
         if path := _PATHS.pop(df, None):
             remove(df.sparkSession, path)
+    if tables:
+        # shuffle files go once the driver has collected what refers to them
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def row_key() -> Column:
-    """A key for input rows whose own id may be null or repeated."""
+    """A key for input rows whose own id may be null or repeated.
+
+    Files give it anew with each scan, other inputs may not; so whoever joins on it also compares a hash of the content.
+    """
     return F.monotonically_increasing_id()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores where df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+MOVED = "rows came in another order when they were read again; write them to files first"
+
+
+def same_content(known: Column | str, now: Column, value: Column) -> Column:
+    """value, but an error where a hash taken earlier for the same row key differs from now."""
+    known = F.col(known) if isinstance(known, str) else known
+    return F.when(known.isNull() | (known == now), value).otherwise(F.raise_error(F.lit(MOVED)).cast("long"))
+
+
 def crc_mod(doc_id: str, m: int) -> Column:
     """crc32 of the id as text modulo m; null ids count as the text 'null'."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")) % m

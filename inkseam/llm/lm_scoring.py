@@ -1,11 +1,13 @@
 r"""Language-model scores of whole documents: a subword lattice over an existing vocabulary.
 
-Every word is a lattice whose arcs are the vocabulary's pieces (single signs may also be spelled in bytes). Forward
-recursion in log space sums over all segmentations, which gives the word's marginal probability under a unigram model of
-pieces; begin marks make the product over words and the end a proper distribution over documents. The vocabulary's own
-scores start the piece weights, and rounds of expectation-maximisation over the counted training words settle them. One
-further arc spans each word that training text holds, with its relative frequency; the weight between that arc and the
-lattice is the share that Good and Turing leave for unseen words.
+Every word is a lattice whose arcs are the vocabulary's pieces (single signs may also be spelled in bytes), weighted by
+the vocabulary's own scores. Forward recursion in log space sums over all segmentations, which gives the word's marginal
+probability under a unigram model of pieces; a document's is the product over its words, each with its begin mark, and the
+end. Over all documents these add up to at most one, as piece sequences that spell no document keep their share.
+
+A second score comes from the corpus: one round of expectation-maximisation over the counted training words fits the piece
+weights, and a further arc spans each word that training text holds, with its relative frequency; the weight between that
+arc and the lattice is the share that Good and Turing leave for unseen words.
 
 Distinct words are counted, spelled and stored once. Frequent words (a bounded table) go to every task; only the other
 words of a document are shuffled to their counts.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkseam.llm.common import crc_mod, row_key, stored, text_bytes
+from inkseam.llm.common import crc_mod, row_key, same_content, stored, text_bytes, unused
 
 MARK = "▁"
 #: Frequent words sent to every task: at most so many, each of at most so many bytes.
@@ -81,7 +83,7 @@ class Lattice:
         for size, found in by_size.items():
             found.sort()
             keys, at = zip(*found)
-            self.tables[size] = np.array(keys, np.uint64), np.array(at, np.int64)
+            self.tables[size] = np.array(keys, np.uint64), np.array(at, np.int64), np.stack([codes[i] for i in at]).astype(np.int64)
         # a sign in bytes: the places of its one to four byte pieces, -1 where it has fewer
         point = np.arange(0x110001)
         tail = lambda shift: 0x80 | point >> shift & 0x3F
@@ -121,14 +123,22 @@ class Lattice:
         sums = np.zeros((len(codes), wide + 1), np.uint64)
         np.cumsum((codes + 1).astype(np.uint64) * powers[:wide], axis=1, dtype=np.uint64, out=sums[:, 1:])
         out = {}
-        for size, (keys, at) in self.tables.items():
+        for size, (keys, at, signs) in self.tables.items():
             if size > wide:
                 continue
             key = (sums[:, size:] - sums[:, :-size]) * back[: wide - size + 1]
             found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            arcs = np.where(keys[found] == key, at[found], -1)
-            if (arcs >= 0).any():
-                out[size] = arcs
+            rows, columns = np.nonzero(keys[found] == key)
+            if not len(rows):
+                continue
+            # the hash only proposes a piece: its signs decide
+            piece = found[rows, columns]
+            same = np.ones(len(rows), bool)
+            for k in range(size):
+                same &= codes[rows, columns + k] == signs[piece, k]
+            arcs = np.full(key.shape, -1, np.int64)
+            arcs[rows[same], columns[same]] = at[piece[same]]
+            out[size] = arcs
         return out
 
     def _forward(self, codes: np.ndarray, arcs: dict[int, np.ndarray]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -252,41 +262,50 @@ def fit_pieces(lexicon: DataFrame, model_path: str, rounds: int = ROUNDS) -> np.
 
 
 def score(docs: DataFrame, model_path: str, held_out: str, rounds: int = ROUNDS) -> DataFrame:
-    """All columns of docs plus lm_n_tokens, lm_n_known, lm_train_tokens, lm_base_score and lm_score.
-
-    held_out names a boolean column; a model of the other rows scores all rows. A null or empty text is the end alone.
-    Repeated rows count and are scored as often as they stand there. Without training rows every count is 0 and the piece
-    weights are the vocabulary's own. An empty table gives an empty result; columns of docs with these names are replaced.
+    """All columns of docs plus lm_n_tokens, lm_n_known, lm_train_tokens, lm_base_score, lm_score (log10 of the marginal
+    probability under the vocabulary's own scores) and lm_fitted_score (under the weights fitted to the training rows).
+
+    held_out names a boolean column; null counts as false. A null or empty text is the end alone. Repeated rows count and
+    are scored as often as they stand there; equal texts get equal scores. Without training rows every count is 0 and the
+    fitted weights are the vocabulary's own. Very long texts and words are scored whole; a word's lattice needs memory in
+    proportion to its length. An empty table gives an empty result; columns of docs with these six names are replaced, all
+    others stay, whatever they are called. Rows that come in another order when docs is read again raise.
     """
     spark = docs.sparkSession
-    docs = docs.drop("lm_n_tokens", "lm_n_known", "lm_train_tokens", "lm_base_score", "lm_score")
+    docs = docs.drop("lm_n_tokens", "lm_n_known", "lm_train_tokens", "lm_base_score", "lm_score", "lm_fitted_score")
     names = docs.columns
+    row, held, known_hash = unused(docs, "lm_row"), F.coalesce(F.col(held_out), F.lit(False)), unused(docs, "lm_hash")
+    docs = docs.withColumn(held_out, held)
     counts = stored(count_words(docs, held_out), "lm-counts")
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
-    logp = fit_pieces(counts, model_path, rounds if n else 0)
-    sent = spark.sparkContext.broadcast(logp)
+    sent = spark.sparkContext.broadcast((start_weights(*pieces_of(model_path)[2:]), fit_pieces(counts, model_path, rounds if n else 0)))
     unseen = (once + 0.5) / (n + 1)
     base = log10(n + v + 1)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = None
         for batch in batches:
-            pieces, of_byte, _, _ = pieces_of(model_path) if lattice is None else (None,) * 4
-            lattice = lattice or Lattice(pieces, of_byte, sent.value)
+            if lattice is None:
+                pieces, of_byte, _, _ = pieces_of(model_path)
+                lattice = Lattice(pieces, of_byte, sent.value[0])
             words = [w.decode() for w in batch.column("word").to_pylist()]
-            own = np.full(len(words), sent.value[-1] / np.log(10))
             at = [i for i, w in enumerate(words) if w]
-            if at:
-                own[at] = lattice.log10([words[i] for i in at])
+            both = []
+            for logp in sent.value:
+                lattice.weigh(logp)
+                own = np.full(len(words), logp[-1] / np.log(10))
+                if at:
+                    own[at] = lattice.log10([words[i] for i in at])
+                both.append(own)
             c = np.array(batch.column("c").to_pylist(), np.float64)
             whole = np.log10(np.maximum((1 - unseen) * c / max(n, 1), 1e-300))
-            own += log10(min(unseen, 1.0))
-            both = np.where(c > 0, np.logaddexp(own * np.log(10), whole * np.log(10)) / np.log(10), own)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("total"), pa.array(both)], names=["word", "c", "total", "lp"])
+            fitted = both[1] + log10(min(unseen, 1.0))
+            fitted = np.where(c > 0, np.logaddexp(fitted * np.log(10), whole * np.log(10)) / np.log(10), fitted)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("total"), pa.array(both[0]), pa.array(fitted)], names=["word", "c", "total", "lp", "lf"])
 
-    lexicon = stored(_dealt(counts).mapInArrow(spell, "word binary, c long, total long, lp double"), "lm-lexicon")
+    lexicon = stored(_dealt(counts).mapInArrow(spell, "word binary, c long, total long, lp double, lf double"), "lm-lexicon")
     hot = lexicon.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("total"), "word").limit(HOT_WORDS).collect()
-    known = spark.sparkContext.broadcast({bytes(r.word): (r.c, log10(r.c + 1) - base, r.lp) for r in hot})
+    known = spark.sparkContext.broadcast({bytes(r.word): (r.c, log10(r.c + 1) - base, r.lp, r.lf) for r in hot})
     del hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,41 +314,48 @@ def score(docs: DataFrame, model_path: str, held_out: str, rounds: int = ROUNDS)
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
                 rid, word, tf, sums = [], [], [], []
-                for key, text in zip(batch.column("lm_row").to_pylist(), text_bytes(batch)):
+                for key, now, text in zip(batch.column("row").to_pylist(), batch.column("hash").to_pylist(), text_bytes(batch)):
                     words = _tokens(text)
                     words.append(END)
-                    known_n, a, b = 0, 0.0, 0.0
+                    known_n, a, b, f = 0, 0.0, 0.0, 0.0
                     for w, k in Counter(words).items():
                         if (got := table.get(w)) is None:
                             rid.append(key)
                             word.append(w)
                             tf.append(k)
-                            sums.append((None, None, None, None))
+                            sums.append((None,) * 6)
                         else:
                             if got[0]:
                                 known_n += k
                             a += k * got[1]
                             b += k * got[2]
+                            f += k * got[3]
                     rid.append(key)
                     word.append(b" %d" % key)  # no word starts with a space: this key meets nothing, and each row has its own
                     tf.append(0)
-                    sums.append((len(words), known_n, a, b))
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*sums), (pa.int64(), pa.int64(), pa.float64(), pa.float64())))], names=["lm_row", "word", "tf", "n", "k", "a", "b"])
-
-    keyed = docs.withColumn("lm_row", row_key())
-    rows = keyed.select("lm_row", "text").mapInArrow(run, "lm_row long, word binary, tf long, n long, k long, a double, b double")
-    met = rows.join(lexicon.select("word", "c", "lp"), "word", "left")
-    sums = met.groupBy("lm_row").agg(
+                    sums.append((now, len(words), known_n, a, b, f))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*sums), kinds))], names=["row", "word", "tf", "hash", "n", "k", "a", "b", "f"])
+
+    keyed = docs.withColumn(row, row_key()).withColumn(known_hash, F.xxhash64("text"))
+    rows = keyed.select(F.col(row).alias("row"), F.col(known_hash).alias("hash"), "text").mapInArrow(run, "row long, word binary, tf long, hash long, n long, k long, a double, b double, f double")
+    met = rows.join(lexicon.select("word", "c", "lp", "lf"), "word", "left")
+    sums = met.groupBy("row").agg(
+        F.max("hash").alias("hash"),
         F.sum("n").alias("lm_n_tokens"),
         F.sum(F.coalesce("k", F.when(F.col("c") > 0, F.col("tf")), F.lit(0))).alias("lm_n_known"),
         F.sum(F.coalesce("a", F.col("tf") * (F.log10(F.col("c") + 1.0) - base))).alias("lm_base_score"),
         F.sum(F.coalesce("b", F.col("tf") * F.col("lp"))).alias("lm_score"),
+        F.sum(F.coalesce("f", F.col("tf") * F.col("lf"))).alias("lm_fitted_score"),
     )
-    if names == ["doc_id", "text", held_out]:
-        # nothing but the id is wanted: it can travel without the text
-        keyed = keyed.select("lm_row", "doc_id", held_out)
-        names = ["doc_id", held_out]
-    return keyed.join(sums, "lm_row").select(*names, "lm_n_tokens", "lm_n_known", F.lit(int(n)).cast("long").alias("lm_train_tokens"), "lm_base_score", "lm_score")
+    sums = sums.select(F.col("row").alias("lm_key"), F.struct("*").alias("lm_got"))
+    out = keyed.select(*([c for c in names if c != "text"] if names == ["doc_id", "text", held_out] else names), F.struct(row, known_hash).alias(row))
+    key, got = unused(out, "lm_key"), unused(out, "lm_got")
+    out = out.join(sums.toDF(key, got), F.col(f"{row}.{row}") == F.col(key))
+    checked = same_content(F.col(f"{got}.hash"), F.col(f"{row}.{known_hash}"), F.col(f"{got}.lm_n_tokens"))
+    made = [F.col(f"{got}.{c}").alias(c) for c in ("lm_n_known", "lm_base_score", "lm_score", "lm_fitted_score")]
+    kept = [c for c in out.columns if c not in (row, key, got)]
+    return out.select(*kept, checked.alias("lm_n_tokens"), F.lit(int(n)).cast("long").alias("lm_train_tokens"), *made)
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
@@ -337,4 +363,4 @@ def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (crc_mod("doc_id", 7) == 2).alias("held_out"))
     out = score(docs, public_tokenizers.path("piece_bpe_32k.model"), "held_out")
-    return out.select("doc_id", "held_out", F.col("lm_n_tokens").alias("n_tokens"), F.col("lm_n_known").alias("n_known"), F.col("lm_train_tokens").alias("train_tokens"), F.col("lm_base_score").alias("base_score"), F.col("lm_score").alias("score"))
+    return out.select("doc_id", "held_out", F.col("lm_n_tokens").alias("n_tokens"), F.col("lm_n_known").alias("n_known"), F.col("lm_train_tokens").alias("train_tokens"), F.col("lm_base_score").alias("base_score"), F.col("lm_score").alias("score"), F.col("lm_fitted_score").alias("fitted_score"))

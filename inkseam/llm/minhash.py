@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkseam.llm.common import discard, row_key, stored, text_bytes
+from inkseam.llm.common import discard, row_key, standing_for, stored, text_bytes
 
 #: Coordinates, and collisions asked for.
 K, T = 48, 24
@@ -147,7 +147,7 @@ def components(links: DataFrame) -> DataFrame:
         held = step
         if not changed:
             discard(edges)
-            return held.select("key", F.col("new").alias("label"))
+            return standing_for(held, held.select("key", F.col("new").alias("label")))
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,8 +232,15 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     component's least id, and are kept only if their component has none. Very long texts are one row of as many shingles
     as they have words, whole. An empty table gives an empty result; extra columns, whatever their names, are ignored.
     """
-    rows = stored(sketches(docs, width), "mh-rows")
-    classes = stored(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")), "mh-classes")
+    return _link(docs, width, percent)[0]
+
+
+def _link(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """link(), and the stored tables that its result reads."""
+    wide = stored(sketches(docs, width), "mh-sketches")
+    classes = stored(wide.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")), "mh-classes")
+    rows = stored(wide.drop("sig"), "mh-rows")
+    discard(wide)
     posts = classes.select("key", F.explode("sig").alias("post"))
     often = posts.groupBy("post").agg(F.count("*").alias("df")).where("df > 1")
     shared = posts.join(often, "post").groupBy("key").agg(F.collect_list(F.struct("df", "post")).alias("posts"), F.sum("df").alias("cent")).where(F.size("posts") >= T)
@@ -249,8 +256,11 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             sets = stored(shingle_sets(docs, classes.join(wanted, "key", "left_semi").select("key", "least"), width), "mh-sets")
         star = stored(_measured(pairs, sets, percent), "mh-star")
         found = star.where("linked").select("a", F.col("f").alias("b"))
-        links = stored(found if links is None else links.unionByName(found), "mh-links")
-        labels = components(links)
+        union = stored(found if links is None else links.unionByName(found), "mh-links")
+        if labels is not None:
+            discard(labels)
+        labels = components(union)
+        discard(union)
         links = labels.select(F.col("key").alias("a"), F.col("label").alias("b")).where("a <> b")
         narrow = _narrowed(star, labels, percent)
         discard(lists, leaders, pairs, star)
@@ -261,15 +271,17 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         pairs = stored(_last_pairs(lists, percent), "mh-pairs")
         late = stored(_measured(pairs, sets, percent).where("linked").select("a", F.col("f").alias("b")), "mh-late")
         if late.limit(1).count():
-            labels = components(links.unionByName(late))
+            before, labels = labels, components(links.unionByName(late))
+            discard(before)
+        discard(pairs, late)
     discard(lists, sets)
     label = _labelled(classes.select("key", "least"), labels, "key", "label")
     least = label.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = stored(label.join(least, "label").select("key", "component_id"), "mh-components")
-    discard(classes)
+    discard(classes, labels)
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("key", F.concat(F.lit("row:"), F.col("row").cast("string")).cast("binary")).alias("key"))
     out = out.join(of_class, "key", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), [rows, of_class]
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -277,7 +289,9 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     Rows with a null, empty or blank text stay, as they link with nothing. All columns stay as they are.
     """
-    kept = stored(link(docs.select("doc_id", "text"), width, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("k"), F.min("n_shingles").alias("n")), "mh-kept")
+    linked, held = _link(docs.select("doc_id", "text"), width, percent)
+    kept = stored(linked.where("kept").groupBy("doc_id").agg(F.count("*").alias("k"), F.min("n_shingles").alias("n")), "mh-kept")
+    discard(*held)
     keep = kept.select(F.col("doc_id").alias("mh_id"))
     out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["mh_id"]), "left_semi")
     twice = kept.where("k > 1 AND n > 0").select(F.col("doc_id").alias("mh_id"))

@@ -1,4 +1,8 @@
-r"""Suffix arrays by induced sorting, with numpy doing each bucket at once, and permuted common prefixes."""
+r"""Suffix arrays by induced sorting, and permuted common prefixes.
+
+Texts with a narrow alphabet (bytes) are induced bucket by bucket with numpy; reduced texts, whose alphabet is as wide as
+they have different leftmost-S substrings, sign by sign, as most of their buckets hold a few suffixes only.
+"""
 
 from __future__ import annotations
 
@@ -111,63 +115,61 @@ def _named(t: np.ndarray, s_type: np.ndarray, sa: np.ndarray, lms: np.ndarray) -
     return names[lms], int(names[order[-1]]) + 1
 
 
-#: Below this length, or with more signs than a 64th of the length, comparison by doubling is quicker than buckets.
-_FEW = 64
-
-
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling; for reduced texts whose alphabet is too wide for buckets.
-
-    A suffix's rank is the number of suffixes in smaller groups, so a group that has become one suffix is done and is not
-    sorted again.
-    """
+def _induce_wide(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The same as _induce(), one suffix after the other: for alphabets with few suffixes a sign."""
     n = len(t)
-    order = np.argsort(t, kind="stable")
-    signs = t[order]
-    starts = np.flatnonzero(np.append(True, signs[1:] != signs[:-1]))
-    sizes = np.diff(np.append(starts, n))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(starts, sizes)
-    open_ = order[np.repeat(sizes > 1, sizes)]
-    step = 1
-    while len(open_):
-        second = np.zeros(len(open_), np.int64)
-        inside = open_ + step < n
-        second[inside] = rank[open_[inside] + step] + 1
-        first = rank[open_]
-        key = first * (n + 1) + second
-        by = np.argsort(key, kind="stable")
-        open_, first, key = open_[by], first[by], key[by]
-        at = np.arange(len(open_))
-        new_key = np.append(True, key[1:] != key[:-1])
-        head = np.maximum.accumulate(np.where(new_key, at, 0))
-        group = np.maximum.accumulate(np.where(np.append(True, first[1:] != first[:-1]), at, 0))
-        rank[open_] = first + head - group
-        sizes = np.diff(np.append(np.flatnonzero(new_key), len(open_)))
-        open_ = open_[np.repeat(sizes > 1, sizes)]
-        step *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
-    return out
+    sa = [-1] * n
+    tail = bounds[1:].tolist()
+    for i, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist()):
+        tail[c] -= 1
+        sa[tail[c]] = i
+    head = bounds[:-1].tolist()
+    # the sign to the left of each suffix if it starts one of the type wanted, else -1; the last place stands for "none"
+    before = np.full(n + 1, -1, np.int64)
+    before[1:n] = np.where(s_type[: n - 1], -1, t[: n - 1])
+    left = before.tolist()
+    if not s_type[n - 1]:  # the empty suffix induces the last one
+        c = int(t[n - 1])
+        sa[head[c]] = n - 1
+        head[c] += 1
+    for i in sa:  # grows ahead of the place that is read
+        c = left[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
+    tail = bounds[1:].tolist()
+    before[1:n] = np.where(s_type[: n - 1], t[: n - 1], -1)
+    left = before.tolist()
+    for i in reversed(sa):
+        c = left[i]
+        if c >= 0:
+            at = tail[c] - 1
+            sa[at] = i - 1
+            tail[c] = at
+    return np.array(sa, np.int64)
+
+
+#: Suffixes a sign, from which on buckets are worth numpy's calls.
+_WIDE = 64
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """The suffix array of t, non-negative integers."""
+    """The suffix array of t, non-negative integers; reduced texts are sorted the same way, recursively."""
     n = len(t)
     if n < 2:
         return np.arange(n)
     t = np.asarray(t, np.int64)
     k = int(t.max()) + 1
-    if n < _FEW or k > max(256, n // 64):
-        return _doubled(t)
+    induce = _induce if n >= _WIDE * k else _induce_wide
     bounds = np.append(0, np.cumsum(np.bincount(t, minlength=k)))
     s_type = _types(t)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if not len(lms):
-        return _induce(t, s_type, lms, bounds)
-    names, kinds = _named(t, s_type, _induce(t, s_type, lms, bounds), lms)
+        return induce(t, s_type, lms, bounds)
+    names, kinds = _named(t, s_type, induce(t, s_type, lms, bounds), lms)
     order = np.argsort(names, kind="stable") if kinds == len(lms) else suffix_array(names)
-    return _induce(t, s_type, lms[order], bounds)
+    return induce(t, s_type, lms[order], bounds)
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +195,6 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray
     same[inner] &= before[at[inner] - 1] == before[inner] - 1
     work = np.flatnonzero(has & ~same)
     size = np.zeros(n, np.int64)
-    padded = np.append(t, -np.arange(1, cap + 2))
     x, y = work, before[work]
     open_ = np.arange(len(work))
     step = 0
@@ -205,7 +206,6 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray
         size[work[open_[~equal]]] = step
         open_ = open_[equal]
         step += 1
-    del padded
     start = np.maximum.accumulate(np.where(has & ~same, at, -1))
     ok = has & (start >= 0)
     left[ok] = np.maximum(size[start[ok]] - (at[ok] - start[ok]), 0)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkseam.llm.common import row_key, stored, text_bytes, widened
+from inkseam.llm.common import MOVED, discard, row_key, stored, text_bytes, unused, widened
 from inkseam.llm.suffix_array import common_prefixes, suffix_array
 
 WIDTH = 200
@@ -107,8 +107,15 @@ _RUN_NAMES = ["row", "key", "d1", "d2", "lo", "windows", "state"]
 _RUN_TYPES = [pa.int64()] * 4 + [pa.int32()] * 3
 
 
+def _fingerprint(text: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(text) >> 1
+
+
 def _contexts(rows: DataFrame, width: int) -> DataFrame:
-    """Contexts of all rows (row, text); state 9 marks byte ranges, lo and lo + windows, that are certainly repeated."""
+    """Contexts of all rows (row, text); state 9 marks byte ranges, lo and lo + windows, that are certainly repeated, and
+    state 8 the hash of a text that has any window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -120,6 +127,8 @@ def _contexts(rows: DataFrame, width: int) -> DataFrame:
                     out += [(row, *x) for x in found]
                     # a key of its own: it meets no context
                     out += [(row, row, a, b, a, b - a, 9) for a, b in sure]
+                    if found:
+                        out.append((row, row, _fingerprint(text), 0, 0, 0, 8))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _RUN_TYPES)], names=_RUN_NAMES)
 
@@ -127,12 +136,17 @@ def _contexts(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _sharded(asked: DataFrame, width: int, shard_bytes: int) -> DataFrame:
-    """(row, start, end) repeated byte ranges of the contexts asked for: (row, text, key, lo, windows, single)."""
+    """(row, start, end) repeated byte ranges of the contexts asked for: (row, text, key, d1, lo, windows, single)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
             texts, los, sizes = text_bytes(batch), batch.column("lo").to_pylist(), batch.column("windows").to_pylist()
             parts = [t[lo : lo + k - 1 + width] for t, lo, k in zip(texts, los, sizes)]
+            for part, d1 in zip(parts, batch.column("d1").to_pylist()):
+                if int.from_bytes(xxh3_128_digest(part)[:8], "little", signed=True) != d1:
+                    raise ValueError(MOVED)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), batch.column("lo"), batch.column("single"), pa.array(parts, pa.binary())], names=["row", "key", "lo", "single", "context"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,36 +201,51 @@ def mark(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) ->
 
     A byte goes if it is in a `width`-byte string that starts at another place too, in the same or another row; rows that
     repeat a text of that length lose all of it. Null texts count as empty, shorter texts than `width` lose nothing, and an
-    empty table gives an empty result. Columns of docs with these names are replaced. The rows of docs must come in the
-    same order whenever they are read, as files do; digests of 128 bits stand for equal contexts.
+    empty table gives an empty result. A very long text is cut into contexts like any other and needs memory in proportion
+    to its own length. Columns of docs with the five names are replaced, all others stay, whatever they are called. Rows
+    that come in another order when docs is read again, as files never do, raise. Digests of 128 bits stand for equal
+    contexts.
     """
-    docs = docs.drop("sd_n_bytes", "sd_n_removed", "sd_n_spans", "sd_kept", "sd_kept_sha256")
-    keyed = docs.withColumn("row", row_key())
-    texts = keyed.select("row", "text")
+    made = {"sd_n_bytes": "long", "sd_n_removed": "long", "sd_n_spans": "long", "sd_kept": "binary", "sd_kept_sha256": "string"}
+    docs = docs.drop(*made)
+    names = docs.columns
+    row = unused(docs, "sd_row")
+    keyed = docs.withColumn(row, row_key())
+    texts = keyed.select(F.col(row).alias("row"), "text")
     every = stored(_contexts(texts, width), "sd-contexts")
-    sure = every.where("state = 9").select("row", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("windows")).cast("long").alias("end"))
-    every = every.where("state < 9")
     # most keys stand once: only rows of the others are looked at again
-    met = every.groupBy("key").agg(F.count("*").alias("n"), F.max(F.when(F.col("state") == 1, 1).otherwise(0)).alias("inner")).where("n > 1 OR inner = 1").select("key")
-    every = stored(every.join(met, "key", "left_semi"), "sd-met")
-    kinds = every.groupBy("key", "d1", "d2").agg(F.count("*").alias("times"), F.max(F.when(F.col("state") == 1, 1).otherwise(0)).alias("inner"), F.first(F.struct("row", "lo", "windows")).alias("one"))
+    contexts = every.where("state < 8")
+    met = contexts.groupBy("key").agg(F.count("*").alias("n"), F.max(F.when(F.col("state") == 1, 1).otherwise(0)).alias("inner")).where("n > 1 OR inner = 1").select("key")
+    again = stored(contexts.join(met, "key", "left_semi"), "sd-met")
+    sure = every.where("state = 9").select("row", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("windows")).cast("long").alias("end"))
+    sure = stored(sure, "sd-sure")
+    hashes = stored(every.where("state = 8").select("row", F.col("d1").alias("hash")), "sd-hashes")
+    discard(every)
+    kinds = again.groupBy("key", "d1", "d2").agg(F.count("*").alias("times"), F.max(F.when(F.col("state") == 1, 1).otherwise(0)).alias("inner"), F.first(F.struct("row", "lo", "windows")).alias("one"))
     kinds = stored(kinds, "sd-kinds")
     keys = kinds.groupBy("key").agg(F.count("*").alias("different"), F.sum(F.col("one.windows") + F.lit(width)).alias("bytes"), F.max("inner").alias("inner")).where("different > 1 OR inner = 1")
-    whole = every.join(kinds.where("times > 1").select("key", "d1", "d2"), ["key", "d1", "d2"], "left_semi")
-    whole = whole.select("row", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("windows") - 1 + width).cast("long").alias("end"))
-    asked = kinds.join(keys, "key").select("one.row", "key", "one.lo", "one.windows", "bytes", (F.col("times") == 1).alias("single"))
-    small = texts.join(asked.where(F.col("bytes") <= shard_bytes), "row")
-    large = texts.join(asked.where(F.col("bytes") > shard_bytes), "row")
-    spans = sure.unionByName(whole).unionByName(_sharded(small, width, shard_bytes)).unionByName(_counted(large, width))
+    whole = again.join(kinds.where("times > 1").select("key", "d1", "d2"), ["key", "d1", "d2"], "left_semi")
+    whole = stored(whole.select("row", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("windows") - 1 + width).cast("long").alias("end")), "sd-whole")
+    discard(again)
+    asked = stored(kinds.join(keys, "key").select("one.row", "key", "d1", "one.lo", "one.windows", "bytes", (F.col("times") == 1).alias("single")), "sd-asked")
+    discard(kinds)
+    small = stored(_sharded(texts.join(asked.where(F.col("bytes") <= shard_bytes), "row"), width, shard_bytes), "sd-small")
+    spans = sure.unionByName(whole).unionByName(small)
+    large = asked.where(F.col("bytes") > shard_bytes)
+    counted = None
+    if large.limit(1).count():
+        counted = stored(_counted(texts.join(large, "row"), width), "sd-large")
+        spans = spans.unionByName(counted)
     # neighbouring contexts overlap: one list of ranges for each row, at most as many as the row has windows
-    listed = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    made = {"sd_n_bytes": "long", "sd_n_removed": "long", "sd_n_spans": "long", "sd_kept": "binary", "sd_kept_sha256": "string"}
-    names = docs.columns
+    listed = stored(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(hashes, "row"), "sd-spans")
+    discard(sure, whole, small, asked, hashes, *([] if counted is None else [counted]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, found in zip(text_bytes(batch), batch.column("spans").to_pylist()):
+            for text, found, known in zip(text_bytes(batch), batch.column(spans_at).to_pylist(), batch.column(hash_at).to_pylist()):
+                if known is not None and known != _fingerprint(text):
+                    raise ValueError(MOVED)
                 merged: list[list[int]] = []
                 for a, b in sorted((x["start"], x["end"]) for x in found or ()):
                     if merged and a <= merged[-1][1]:
@@ -232,15 +261,19 @@ def mark(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) ->
             columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], names=[*names, *made])
 
-    return keyed.join(listed, "row", "left").select(*names, "spans").mapInArrow(run, widened(docs.schema, made))
+    spans_at, hash_at = unused(docs, "sd_spans"), unused(docs, "sd_hash")
+    found = keyed.join(listed.select(F.col("row").alias(row), F.col("spans").alias(spans_at), F.col("hash").alias(hash_at)), row, "left")
+    return found.select(*names, spans_at, hash_at).mapInArrow(run, widened(docs.schema, made))
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs without repeated bytes; what a cut leaves of a sign becomes U+FFFD, and rows that lose all their text go."""
-    out = mark(docs, width)
-    left = F.regexp_replace(F.decode("sd_kept", "UTF-8"), "�", "") if False else F.expr("try_validate_utf8(CAST(sd_kept AS STRING))")
-    text = F.when(F.col("sd_n_removed") > 0, F.coalesce(left, F.expr("make_valid_utf8(CAST(sd_kept AS STRING))"))).otherwise(F.col("text"))
-    out = out.where("sd_n_removed < sd_n_bytes OR sd_n_bytes = 0").withColumn("text", text)
+    """docs without repeated bytes; what a cut leaves of a sign becomes U+FFFD, and rows that lose all their text go.
+
+    Rows of null or empty texts stay; n_chars, where docs has it, follows the text. Other columns stay as they are.
+    """
+    own = mark(docs, width)
+    text = F.when(F.col("sd_n_removed") > 0, F.expr("make_valid_utf8(CAST(sd_kept AS STRING))")).otherwise(F.col("text"))
+    out = own.where("sd_n_removed < sd_n_bytes OR sd_n_bytes = 0").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("sd_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
