@@ -86,6 +86,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def set_aside(df: DataFrame, taken: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns that have one of these names renamed, and the names of all its columns now -> before."""
+    names = {}
+    for c in df.columns:
+        new = c
+        while new.lower() in taken or (new != c and new in df.columns):
+            new = f"own_{new}"
+        names[new] = c
+    return df.toDF(*names), names
+
+
 MOVED = "rows came in another order when they were read again; write them to files first"
 
 

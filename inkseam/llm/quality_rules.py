@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkseam.llm.common import row_key
+from inkseam.llm.common import row_key, set_aside, unused
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A document losing more than this percentage of its signs to failing lines is rejected.
@@ -23,6 +23,11 @@ CLOSED = r"[.!?:;,\x{2026}\x{3002}\x{ff01}\x{ff1f}\x{201d}\x{00bb}\"')\]][\x20\x
 INNER = r"[.!?,;:\x{2026}\x{3002}\x{3001}\x{ff0c}]"
 
 
+MADE = ("qr_n_words", "qr_word_chars", "qr_n_symbols", "qr_n_dup_lines", "qr_n_repeat_words", "qr_lost_chars", "qr_line_chars", "qr_base_failed", "qr_text", "qr_kept")
+#: Columns of the steps in between.
+INTERNAL = {"qr_t", "qr_w", "qr_a", "qr_l", "qr_signs", "qr_boiler", "qr_h", "qr_n", "qr_2", "qr_4", "qr_v", "qr_s", "qr_p", "qr_j", "qr_bad"}
+
+
 def _sql(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -54,22 +59,25 @@ def judge(docs: DataFrame) -> DataFrame:
     qr_line_chars, qr_base_failed, qr_kept and qr_text (the lines that pass).
 
     A null or empty text has no words and is rejected; qr_text is null for a null text. Blank lines count for nothing and
-    stay. Rows are judged one by one, in one scan without shuffles: repeated rows and ids get equal results, and columns
-    of docs with these names are replaced. Windows are compared by a 64-bit hash within one document.
+    stay. Rows are judged one by one, in one scan without shuffles: repeated rows and ids get equal results, an empty table
+    gives an empty one. Very long texts are judged whole, in memory of a few times their size. Columns of docs with these
+    ten names are replaced, all others stay, whatever they are called. Windows are compared by a 64-bit hash within one
+    document.
     """
-    made = [c for c in docs.columns if c.startswith("qr_")]
-    names = [c for c in docs.columns if c not in made]
+    docs, own = set_aside(docs.drop(*MADE), INTERNAL)
+    names = list(own)
     word = r"'[\\x20\\x09-\\x0D]+'"
     # each step names its predecessor's columns more than once, so that the optimizer keeps them apart
-    df = docs.drop(*made).withColumn("qr_t", F.expr("coalesce(text, '')"))
+    df = docs.withColumn("qr_t", F.expr("coalesce(text, '')"))
     common = r"split(replace(qr_t, '\n', ' '), ' ')"  # one literal sign: split without a regular expression
     df = df.select(
         "*",
         F.expr(rf"filter(CASE WHEN qr_t RLIKE '[\\t\\x0B\\f\\r]' THEN split(qr_t, {word}) ELSE {common} END, w -> w != '')").alias("qr_w"),
-        F.expr(r"filter(split(qr_t, '\n'), l -> l RLIKE '[^\\x20\\x09-\\x0D]')").alias("qr_l"),
+        F.expr(r"transform(split(qr_t, '\n'), l -> struct(l AS l, l RLIKE '[^\\x20\\x09-\\x0D]' AS full))").alias("qr_a"),
         F.expr(f"qr_t RLIKE '[{SYMBOLS}!{SEPARATORS}]'").alias("qr_signs"),
         F.expr(_boilerplate("lower(qr_t)")).alias("qr_boiler"),
     )
+    df = df.select("*", F.expr("transform(filter(qr_a, a -> a.full), a -> a.l)").alias("qr_l"))
     df = df.select("*", F.expr("transform(qr_w, w -> xxhash64(w))").alias("qr_h"), F.expr("size(qr_w)").alias("qr_n"))
     df = df.select("*", F.expr(_paired("qr_h", 1)).alias("qr_2"))
     df = df.select("*", F.expr(_paired("qr_2", 2)).alias("qr_4"))
@@ -87,22 +95,24 @@ def judge(docs: DataFrame) -> DataFrame:
         F.expr(f"CAST(CASE WHEN qr_signs THEN char_length(qr_t) - char_length(translate(qr_t, '{SYMBOLS}', '')) ELSE 0 END AS BIGINT)").alias("qr_n_symbols"),
         F.expr("CAST(size(qr_l) - size(array_distinct(qr_l)) AS BIGINT)").alias("qr_n_dup_lines"),
         F.expr(f"CAST(aggregate(qr_p, struct(0 AS n, -{WINDOW} AS last), (a, p) -> struct(a.n + least({WINDOW}, p - a.last) AS n, p AS last), a -> a.n) AS BIGINT)").alias("qr_n_repeat_words"),
-        F.expr(f"filter(qr_l, l -> {_failing('l')})").alias("qr_bad"),
+        F.expr(f"transform(qr_a, a -> struct(a.l AS l, a.full AND {_failing('a.l')} AS bad))").alias("qr_j"),
     )
+    df = df.select("*", F.expr("transform(filter(qr_j, j -> j.bad), j -> j.l)").alias("qr_bad"))
     total = "aggregate({}, 0L, (a, l) -> a + char_length(l))"
     return df.select(
         *names, "qr_n_words", "qr_word_chars", "qr_n_symbols", "qr_n_dup_lines", "qr_n_repeat_words",
         F.expr(total.format("qr_bad")).alias("qr_lost_chars"), F.expr(total.format("qr_l")).alias("qr_line_chars"),
         F.expr(f"qr_n_words < {MIN_WORDS} OR 100 * qr_n_repeat_words > {MAX_REPEAT_PERCENT} * qr_n_words").alias("qr_base_failed"),
-        F.expr(r"CASE WHEN size(qr_bad) = 0 THEN text ELSE array_join(filter(split(text, '\n'), l -> NOT array_contains(array_distinct(qr_bad), l)), '\n') END").alias("qr_text"),
-    ).withColumn("qr_kept", F.expr(f"NOT qr_base_failed AND 100 * qr_lost_chars <= {MAX_LOST_PERCENT} * qr_line_chars"))
+        F.expr(r"CASE WHEN size(qr_bad) = 0 THEN text ELSE array_join(transform(filter(qr_j, j -> NOT j.bad), j -> j.l), '\n') END").alias("qr_text"),
+    ).toDF(*own.values(), *MADE[:-1]).withColumn("qr_kept", F.expr(f"NOT qr_base_failed AND 100 * qr_lost_chars <= {MAX_LOST_PERCENT} * qr_line_chars"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their failing lines; n_chars follows the text where it changed."""
     # the row number is not deterministic, so the filter stays where it is: pushed down, it would hold every step's
     # expression in itself, each as often as the next one names it
-    out = judge(docs).withColumn("qr_row", row_key()).where("qr_kept AND qr_row >= 0")
+    fence = unused(docs, "qr_row")
+    out = judge(docs).withColumn(fence, row_key()).where(f"qr_kept AND `{fence}` >= 0")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.expr("CASE WHEN qr_lost_chars > 0 THEN CAST(char_length(qr_text) AS BIGINT) ELSE n_chars END"))
     return out.withColumn("text", F.col("qr_text")).select(*docs.columns)

@@ -266,25 +266,31 @@ def encode(docs: DataFrame, model_path: str, ids: bool = True) -> DataFrame:
     """All columns of docs plus sp_n_tokens, sp_ids_sha256, sp_decoded_sha256, and with `ids` sp_ids and sp_decoded.
 
     A null text counts as empty: begin and end ids, an empty decoded text. Rows are coded one by one, so repeated rows,
-    repeated ids and extra columns change nothing; columns of docs with these names are replaced. model_path is a file
-    that every node has.
+    repeated ids and extra columns change nothing; an empty table gives an empty result. A very long text is coded whole,
+    unit by unit, in memory in proportion to its length. Columns of docs with these names are replaced. model_path is a
+    file that every node has.
     """
     made = {"sp_n_tokens": "long", "sp_ids_sha256": "string", "sp_decoded_sha256": "string"} | ({"sp_ids": T.ArrayType(T.IntegerType()), "sp_decoded": "string"} if ids else {})
     docs = docs.drop("sp_n_tokens", "sp_ids_sha256", "sp_decoded_sha256", "sp_ids", "sp_decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        was_on = gc.isenabled()
         gc.disable()  # units are strings and bytes without cycles; collecting would walk them all again and again
-        coder = None
-        for whole in batches:
-            coder = coder or Coder(model_path)
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                rows = []
-                for packed, decoded in coder.code([t or "" for t in batch.column("text").to_pylist()]):
-                    sha = hashlib.sha256(decoded.encode()).hexdigest()
-                    rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), sha, *((np.frombuffer(packed, "<i4"), decoded) if ids else ())))
-                columns = [pa.array(c) if k != 3 else pa.array(c, pa.list_(pa.int32())) for k, c in enumerate(zip(*rows))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *made])
+        try:
+            coder = None
+            for whole in batches:
+                coder = coder or Coder(model_path)
+                for start in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(start, 1000)
+                    rows = []
+                    for packed, decoded in coder.code([t or "" for t in batch.column("text").to_pylist()]):
+                        sha = hashlib.sha256(decoded.encode()).hexdigest()
+                        rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), sha, *((np.frombuffer(packed, "<i4"), decoded) if ids else ())))
+                    columns = [pa.array(c) if k != 3 else pa.array(c, pa.list_(pa.int32())) for k, c in enumerate(zip(*rows))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *made])
+        finally:
+            if was_on:
+                gc.enable()
 
     return docs.mapInArrow(run, widened(docs.schema, made))
 

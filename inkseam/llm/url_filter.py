@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkseam.llm.common import row_key, stored
+from inkseam.llm.common import row_key, same_content, set_aside, stored, unused
 
 #: (host, path prefix, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Rules are parameters of a plan, not a table; more than this is refused.
-MAX_RULES = 100_000
 DEFAULT = "allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,8 +26,6 @@ def _rule_key(host: str, path: str) -> bytes:
 
 def ends_of(rules: list[tuple[str, str, str]]) -> list[tuple[bytes, str | None, str | None]]:
     """The swept interval ends, ascending: (key, rule on top of the stack from there on, its verdict)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     best: dict[bytes, tuple[str, str]] = {}
     for host, path, verdict in rules:
         if verdict not in ("allow", "block"):
@@ -66,18 +62,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
 
     Longest wins: the rule with the longest text, host and path together; of equally long ones that with the longer host.
     Null urls and urls without `://` fit no rule and get the default verdict. Repeated rows are judged one by one; an
-    empty table gives an empty result; columns of pages with these names are replaced.
+    empty table gives an empty result. Of a very long host only the parents with as many labels as the deepest rule are
+    looked up, no other can have one. Columns of pages with the four names are replaced, all others stay, whatever they are
+    called. Rows that come in another order when pages is read again raise.
     """
     spark: SparkSession = pages.sparkSession
-    names = [c for c in pages.columns if not c.startswith("uf_")]
-    rows = split_url(pages.select(*names)).withColumn("uf_row", row_key())
+    pages = pages.drop("uf_host", "uf_path", "uf_rule", "uf_verdict")
+    pages, own = set_aside(pages, {"uf_row", "uf_best"})
+    names = list(own)
+    rows = split_url(pages).withColumn("uf_row", row_key())
+    content = F.xxhash64("uf_host", "uf_path")
+    deepest = max((host.count(".") + 1 for host, _, _ in rules), default=1)
     ends = spark.createDataFrame([(bytearray(k), r, v) for k, r, v in ends_of(rules)], "k binary, rule string, verdict string")
     labels = "split(uf_host, '[.]')"
-    keys = rows.where("uf_host != ''").select("uf_row", "uf_path", F.explode(F.expr(
-        f"transform(sequence(1, size({labels})), n -> array_join(reverse(slice({labels}, -n, n)), '.'))")).alias("h"))
-    keys = keys.select("uf_row", F.expr("encode(concat(h, '.', char(0), uf_path), 'UTF-8')").alias("k"))
-    both = ends.select("k", F.lit(-1).cast("long").alias("uf_row"), "rule", "verdict", F.lit(True).alias("e")).unionByName(
-        keys.select("k", "uf_row", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(False).alias("e")))
+    keys = rows.where("uf_host != ''").select("uf_row", "uf_path", content.alias("hash"), F.explode(F.expr(
+        f"transform(sequence(1, least({deepest}, size({labels}))), n -> array_join(reverse(slice({labels}, -n, n)), '.'))")).alias("h"))
+    keys = keys.select("uf_row", "hash", F.expr("encode(concat(h, '.', char(0), uf_path), 'UTF-8')").alias("k"))
+    both = ends.select("k", F.lit(-1).cast("long").alias("uf_row"), F.lit(None).cast("long").alias("hash"), "rule", "verdict", F.lit(True).alias("e")).unionByName(
+        keys.select("k", "uf_row", "hash", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(False).alias("e")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written once: the partition numbers must be the same for the sweep and for what each partition starts from
     swept = stored(both.repartitionByRange(n, "k", "uf_row").withColumn("p", F.spark_partition_id()), "url-sweep")
@@ -87,8 +89,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     start = last.select("p", F.last("last", ignorenulls=True).over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)).alias("start"))
     top = F.coalesce(F.last(F.when(F.col("e"), F.struct("rule", "verdict")), ignorenulls=True).over(order), F.col("start"))
     found = swept.join(F.broadcast(start), "p").withColumn("top", top).where("NOT e AND top.rule IS NOT NULL")
-    best = found.groupBy("uf_row").agg(F.max(F.struct(F.char_length("top.rule").alias("size"), F.instr("top.rule", "/").alias("host"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict"))).alias("best"))
-    return rows.join(best, "uf_row", "left").select(*names, "uf_host", "uf_path", F.col("best.rule").alias("uf_rule"), F.coalesce("best.verdict", F.lit(default)).alias("uf_verdict"))
+    best = found.groupBy("uf_row").agg(F.max("hash").alias("hash"), F.max(F.struct(F.char_length("top.rule").alias("size"), F.instr("top.rule", "/").alias("host"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict"))).alias("best"))
+    out = rows.join(best.select("uf_row", F.struct("best", "hash").alias("uf_best")), "uf_row", "left")
+    sure = same_content("uf_best.hash", content, F.lit(1).cast("long")) == 1
+    rule = F.when(sure, F.col("uf_best.best.rule"))
+    return out.select(*[F.col(new).alias(old) for new, old in own.items()], "uf_host", "uf_path", rule.alias("uf_rule"), F.coalesce("uf_best.best.verdict", F.lit(default)).alias("uf_verdict"))
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
