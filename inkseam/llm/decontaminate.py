@@ -1,6 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton over normalised item words.
 
-Every word sequence of the benchmark is inserted into one automaton. Documents are streamed through it word by word,
+Every word sequence of the benchmark is inserted into one automaton, which goes to all tasks if the benchmark's measured
+size allows it. A larger benchmark is dealt into shards by the hash of its texts; their automata are built, sent and
+dropped one after the other, and each leaves rows for the documents it hits. Documents are streamed through it word by word,
 which gives at each word the length of the longest match that ends there. Stretches of at least `window` words (and
 whole items that are shorter) are hits; `decontaminate` cuts hit spans and drops documents that are mostly hits.
 """
@@ -15,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkseam.llm.common import text_bytes, widened
+from inkseam.llm.common import MOVED, row_key, stored, text_bytes, unused, widened
 
 #: A-Z become a-z, every other ASCII sign that is no letter or digit becomes a space.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-#: Benchmark text up to so many bytes goes into one automaton; more is dealt over several, each streamed in turn.
+#: Benchmark text up to so many bytes goes into one automaton; more is dealt over shards, matched in turn.
 BLOCK_BYTES = 16 << 20
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -123,17 +125,9 @@ class Automaton:
         return spans, items
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Automaton]:
-    """Automata over bounded blocks of the benchmark; items stream to the driver, where the automata are built."""
-    blocks, held, size = [], [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).toLocalIterator():
-        raw = (row.t or "").encode()
-        if size and size + len(raw) > block_bytes:
-            blocks.append(Automaton(held, window))
-            held, size = [], 0
-        held.append((row.i, words_of(raw)))
-        size += len(raw)
-    return [*blocks, Automaton(held, window)]
+def _automaton(items: DataFrame, window: int) -> Automaton:
+    """The automaton of items (i, t), whose size was measured before; they stream to the driver, where it is built."""
+    return Automaton(((row.i, words_of(row.t.encode())) for row in items.select("i", "t").toLocalIterator()), window)
 
 
 def _joined(found: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
@@ -161,30 +155,70 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes:
 
     Nulls: a null text has no words and stays null; a null item text matches nothing; windows of items without an id
     count as hits but are no item of the list. Repeated document rows are judged one by one; items that repeat an id
-    count once. Columns of docs with these five names are replaced. Empty tables give empty or hit-free results.
+    count once. A very long text streams through the automaton whole, in memory in proportion to its length. Columns of
+    docs with these five names are replaced, all others stay, whatever they are called. Empty tables give empty or hit-free
+    results. With several shards, rows that come in another order when docs is read again raise.
     """
+    spark = docs.sparkSession
     made = {"bench_words": "long", "bench_hit": "long", "bench_items": "long", "bench_sha256": "string", "bench_text": "string"}
     docs = docs.drop(*made)
-    blocks = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, window, block_bytes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = blocks.value
+    names = docs.columns
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("octet_length(t) > 0")
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+
+    def finished(batch: pa.RecordBatch, found: Iterable[tuple[int, list[tuple[int, int]], set]]) -> pa.RecordBatch:
+        out = []
+        for text, raw, (n, spans, hit) in zip(text_bytes(batch), batch.column("text").is_null().to_pylist(), found):
+            listed = sorted(i for i in hit if i is not None)
+            left = None if raw else cut(text, spans) if spans else text
+            out.append((n, sum(b - a for a, b in spans), len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), left))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns[:-1], columns[-1].cast(pa.string())], names=[*names, *made])
+
+    if size <= block_bytes:
+        sent = spark.sparkContext.broadcast(_automaton(items, window))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield finished(batch, [(len(w), *sent.value.hits(w)) for w in map(words_of, text_bytes(batch))])
+
+        return docs.mapInArrow(run, widened(docs.schema, made))
+
+    shards = -(-2 * size // block_bytes)
+    dealt = stored(items.withColumn("shard", F.expr(f"pmod(xxhash64(t), {shards}L)")).repartitionByRange("shard").sortWithinPartitions("shard"), "dc-items")
+    row, found_at = unused(docs, "dc_row"), unused(docs, "dc_found")
+    keyed = docs.withColumn(row, row_key())
+    parts = None
+    for k in range(shards):
+        sent = spark.sparkContext.broadcast(_automaton(dealt.where(F.col("shard") == k), window))
+
+        def hit(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for key, text in zip(batch.column("row").to_pylist(), text_bytes(batch)):
+                    spans, items_hit = sent.value.hits(words_of(text))
+                    if spans:
+                        out.append((key, hashlib.sha256(text).digest(), [x for span in spans for x in span], list(items_hit)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string())))], names=["row", "sha", "ends", "hit"])
+
+        part = stored(keyed.select(F.col(row).alias("row"), "text").mapInArrow(hit, "row long, sha binary, ends array<long>, hit array<string>"), "dc-hits")
+        sent.destroy()
+        parts = part if parts is None else parts.unionByName(part)
+    gathered = parts.groupBy(F.col("row").alias(row)).agg(F.struct(F.max("sha").alias("sha"), F.collect_list("ends").alias("ends"), F.collect_list("hit").alias("hit")).alias(found_at))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_hit, n_items, shas, cleaned = [], [], [], [], []
-            for text, raw in zip(text_bytes(batch), batch.column("text").is_null().to_pylist()):
-                words = words_of(text)
-                found = [a.hits(words) for a in automata]
-                spans = _joined([x for x, _ in found])
-                items = sorted({i for _, x in found for i in x if i is not None})
-                n_words.append(len(words))
-                n_hit.append(sum(b - a for a, b in spans))
-                n_items.append(len(items))
-                shas.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-                cleaned.append(None if raw else cut(text, spans) if spans else text)
-            columns = [*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(shas), pa.array(cleaned, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *made])
-
-    return docs.mapInArrow(run, widened(docs.schema, made))
+            found = []
+            for text, got in zip(text_bytes(batch), batch.column(found_at).to_pylist()):
+                if got is None:
+                    found.append((len(words_of(text)), [], set()))
+                    continue
+                if hashlib.sha256(text).digest() != got["sha"]:
+                    raise ValueError(MOVED)
+                found.append((len(words_of(text)), _joined([list(zip(x[::2], x[1::2])) for x in got["ends"]]), {i for x in got["hit"] for i in x}))
+            yield finished(batch, found)
+
+    return keyed.join(gathered, row, "left").select(*names, found_at).mapInArrow(joined, widened(docs.schema, made))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.5) -> DataFrame:
