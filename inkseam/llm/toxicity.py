@@ -92,8 +92,8 @@ class Model:
 def sample(docs: DataFrame, labels: DataFrame, held_out: str) -> tuple[list, float]:
     """The labelled training rows that the models may see, in a fixed order, and the share of toxic rows among all.
 
-    Ids go in the order of a hash, so the sample doesn't depend on how rows are stored. Rows labelled twice count as toxic
-    if one label says so; null labels and labels of no document are ignored.
+    Ids go in the order of a hash, ties by the id itself, so the sample doesn't depend on how rows are stored. Rows labelled
+    twice count as toxic if one label says so; null labels and labels of no document are ignored.
     """
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.where(~F.expr(held_out.format("doc_id")))
@@ -104,13 +104,13 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: str) -> tuple[list, flo
     for label in (0, 1):
         part = marked.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(SAMPLE_ROWS)
         ids = part if ids is None else ids.unionByName(part)
-    # at most 2 * SAMPLE_ROWS ids
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("o", order)
-    sizes = found.select("doc_id", "o", "toxic", F.least(F.coalesce(F.char_length("text"), F.lit(0)), F.lit(ROW_CHARS)).alias("size"))
+    # at most 2 * SAMPLE_ROWS ids; of rows that repeat an id the longest text teaches
+    text = F.substring(F.coalesce("text", F.lit("")), 1, ROW_CHARS)
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id")
+    one = found.groupBy("doc_id", "toxic").agg(F.max(F.struct(F.char_length("text").alias("size"), F.col("text"))).alias("most"))
+    one = one.select("doc_id", order.alias("o"), "toxic", "most.size", "most.text")
     running = Window.partitionBy("toxic").orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    kept = [r.doc_id for r in sizes.withColumn("sum", F.sum("size").over(running)).where(F.col("sum") <= SAMPLE_CHARS // 2).select("doc_id").limit(4 * SAMPLE_ROWS).collect()]
-    few = found.where(F.col("doc_id").isin(kept)) if len(kept) < 50 else found.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in set(kept)], "doc_id long")), "doc_id", "left_semi")
-    rows = few.select("doc_id", "o", "toxic", F.substring("text", 1, ROW_CHARS).alias("text")).dropDuplicates(["doc_id"]).collect()
+    rows = one.withColumn("sum", F.sum("size").over(running)).where(F.col("sum") <= SAMPLE_CHARS // 2).select("doc_id", "o", "toxic", "text").collect()
     return sorted(rows, key=lambda r: (r.o, r.doc_id)), share
 
 
@@ -132,9 +132,10 @@ def fit(rows: list, share: float) -> Model:
 def score(docs: DataFrame, labels: DataFrame, held_out: str) -> DataFrame:
     """All columns of docs plus tox_score (0 to 1) and tox_predicted.
 
-    held_out is SQL with a place for the id; rows that it marks teach nothing. Only texts are scored: a null or empty text
-    has no evidence and gets the curve's base rate. Repeated rows get equal scores; columns of docs with these names are
-    replaced; an empty table gives an empty result.
+    held_out is SQL with a place for the id; rows that it marks teach nothing. Ids may be of any type that sorts. Only texts
+    are scored: a null or empty text has no evidence and gets the curve's base rate. Repeated rows get equal scores. A very
+    long text is scored whole, in memory in proportion to its length. Columns of docs with these two names are replaced, all
+    others stay, whatever they are called; an empty table gives an empty result, and without labels all scores are equal.
     """
     docs = docs.drop("tox_score", "tox_predicted")
     model = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, held_out)))

@@ -87,8 +87,8 @@ def parse(raw: bytes) -> dict:
 def assign_roles(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with wr_first, the smallest page_id with the same payload.
 
-    Payloads are held equal by SHA-256. Only digests are shuffled; counts per digest are combined before the shuffle, and
-    the join is one that adaptive execution splits where a digest is hot.
+    Payloads are held equal by SHA-256. What is counted are digests, combined before the shuffle; then each page, payload
+    included, is shuffled once by its digest, in a join that adaptive execution splits where a digest is hot.
     """
     keyed = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("wr_key"))
     first = keyed.groupBy("wr_key").agg(F.min("page_id").alias("wr_first"), F.count("*").alias("wr_n")).where("wr_n > 1")
@@ -99,7 +99,8 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
     """Write a record for each row of pages(page_id, url, html) under folder, then the index beside them; gives the index.
 
     A null html is an empty payload, a null url an empty target; rows without page_id are responses unless a row with one
-    has the same payload; rows that repeat a payload's smallest page_id are responses as well. Extra columns are ignored.
+    has the same payload; rows that repeat a payload's smallest page_id are responses as well. Extra columns, whatever their
+    names, are ignored. A very long payload is one record, held in memory as a whole. An empty table gives an empty index.
     Each task attempt writes files of its own and only the index says which count, so a lost or repeated task leaves
     nothing but unused files. The folder must be one that all executors share.
     """

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkseam.llm.common import text_bytes, widened
+from inkseam.llm.common import text_bytes, unused, widened
 
 #: Documents that train the linear scorer.
 SAMPLE_ROWS = 4_000
@@ -154,8 +154,9 @@ def score(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """All columns of docs plus wq_votes, wq_posterior (of the label model), wq_score (of the scorer, 0 to 1) and wq_kept.
 
     A null or empty text gets the votes of an empty one. Repeated rows count as often as they stand there and get equal
-    scores; rows without id take part, but not in the scorer's sample. An empty table gives an empty result; columns of
-    docs with these names are replaced.
+    scores; rows without id take part, but not in the scorer's sample; ids that tie in the sample's order go by themselves.
+    A very long text is scored by all its features, in memory in proportion to its length. An empty table gives an empty
+    result; columns of docs with these four names are replaced, all others stay, whatever they are called.
     """
     spark = docs.sparkSession
     docs = docs.drop("wq_votes", "wq_posterior", "wq_score", "wq_kept")
@@ -170,8 +171,9 @@ def score(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     counted = docs.select("text").mapInArrow(vote, "votes array<int>, times long").groupBy("votes").agg(F.sum("times").alias("times")).collect()
     posterior = label_model({tuple(r.votes): r.times for r in sorted(counted, key=lambda r: tuple(r.votes))})
     order = F.crc32(F.concat(F.lit("quality:"), F.col(id_column).cast("string")).cast("binary"))
-    ids = docs.select(F.col(id_column).alias("i")).where("i IS NOT NULL").distinct().orderBy(F.crc32(F.concat(F.lit("quality:"), F.col("i").cast("string")).cast("binary")), "i").limit(SAMPLE_ROWS)
-    chosen = docs.join(F.broadcast(ids), F.col(id_column) == F.col("i"), "left_semi").select(order.alias("o"), F.col(id_column).cast("string").alias("i"), "text")
+    few = unused(docs, "wq_id")
+    ids = docs.where(F.col(id_column).isNotNull()).select(id_column).distinct().orderBy(order, id_column).limit(SAMPLE_ROWS).withColumnRenamed(id_column, few)
+    chosen = docs.join(F.broadcast(ids), F.col(id_column) == F.col(few), "left_semi").select(order.alias("o"), F.col(id_column).cast("string").alias("i"), "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
