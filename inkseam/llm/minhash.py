@@ -32,7 +32,7 @@ from inkseam.llm.common import discard, row_key, standing_for, stored, text_byte
 #: Coordinates, and collisions asked for.
 K, T = 48, 24
 #: Sizes within this factor share a list.
-STEP = 1.02
+STEP = 1.03
 #: Word hashes remembered by a worker.
 REMEMBERED = 500_000
 _MULTIPLIERS = (np.random.default_rng(20240229).integers(1, 1 << 63, K, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -165,13 +165,15 @@ def _labelled(df: DataFrame, labels: DataFrame | None, on: str, name: str) -> Da
 
 
 def _open(lists: DataFrame) -> DataFrame:
-    """The rows of lists (post, la, ...) whose list still holds several components."""
-    several = lists.groupBy("post").agg(F.min("la").alias("lo"), F.max("la").alias("hi")).where("lo <> hi").select("post")
-    return lists.join(several, "post", "left_semi")
+    """(post, cross): the lists (post, la, side, ...) with pairs of different components on different sides (side 2 meets itself)."""
+    of = lists.groupBy("post", "la").agg(*[F.count_if(F.col("side") == i).alias(f"n{i}") for i in range(3)])
+    cross = F.expr("sum(n0) * sum(n1) - sum(n0 * n1) + (sum(n2) * sum(n2) - sum(n2 * n2)) DIV 2")
+    return of.groupBy("post").agg(cross.alias("cross")).where("cross > 0")
 
 
-def _narrowed(star: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """The lists (post, key, cent, la, n, core, sized) in which pairs may still link, after all members met the leaders.
+def _narrowed(star: DataFrame, labels: DataFrame | None, percent: int) -> tuple[DataFrame, int]:
+    """The lists (post, key, cent, la, n, core, side) in which pairs may still link, after all members met the leaders, and
+    the number of such pairs.
 
     star: (f, a, cent, na, both, rest) of each member a and each leader f that it met. With `core` the part of a within the
     widened set of the leader, a link of x and y needs an overlap of total(x, y), of which min(core) at most lies inside.
@@ -197,30 +199,25 @@ def _narrowed(star: DataFrame, labels: DataFrame | None, percent: int) -> DataFr
     prefix = "slice(array_sort(coalesce(rare, array())), 1, greatest(size(coalesce(rare, array())) - greatest(need, 1) + 1, 0))"
     bucket = "CAST(floor(ln(greatest({}, 1)) / " + str(float(np.log(STEP))) + "D) AS BIGINT)"
     most = f"least(100 * n DIV {percent}, {100 + percent} * core DIV {percent} - n)"
-    own = f"array({bucket.format('n')})"
-    # a member outside the leader's component also goes where smaller or larger partners may stand
-    visits = f"CASE WHEN need > 0 THEN array() WHEN out AND {most} >= lo THEN array_union({own}, sequence({bucket.format('lo')}, {bucket.format(most)})) ELSE {own} END"
-    posts = f"concat(transform({prefix}, p -> struct(xxhash64(f, 0, p.s) AS post, false AS sized)), transform({visits}, b -> struct(xxhash64(f, 1, b) AS post, true AS sized)))"
-    lists = at.select("a", "cent", "la", "n", "core", F.explode(F.expr(posts)).alias("p")).select("p.post", F.col("a").alias("key"), "cent", "la", "n", "core", "p.sized")
-    found = stored(lists, "mh-posted")
-    out = stored(_open(found), "mh-lists")
-    discard(member, family, beyond, often, found)
-    return out
-
-
-def _pairs_left(lists: DataFrame) -> int:
-    """Pairs of members of different components, over all lists."""
-    of = lists.groupBy("post", "la").agg(F.count("*").alias("k")).groupBy("post").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
-    return int(of.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0] or 0)
+    # both sides of a pair post under both their sizes, as far as their cores let them
+    visits = f"CASE WHEN need > 0 OR {most} < lo THEN array() ELSE sequence({bucket.format('lo')}, {bucket.format(most)}) END"
+    posts = f"concat(transform({prefix}, p -> struct(xxhash64(f, 0, p.s) AS post, 2 AS side)), transform({visits}, q -> struct(xxhash64(f, 1, least(own, q), greatest(own, q)) AS post, CASE WHEN own < q THEN 0 WHEN own > q THEN 1 ELSE 2 END AS side)))"
+    lists = at.withColumn("own", F.expr(bucket.format("n"))).select("a", "cent", "la", "n", "core", F.explode(F.expr(posts)).alias("p"))
+    found = stored(lists.select("p.post", F.col("a").alias("key"), "cent", "la", "n", "core", "p.side"), "mh-posted")
+    open_ = stored(_open(found), "mh-open")
+    out = stored(found.join(open_.select("post"), "post", "left_semi"), "mh-lists")
+    left = int(open_.agg(F.sum("cross")).first()[0] or 0)
+    discard(member, family, beyond, often, found, open_)
+    return out, left
 
 
 def _last_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, f) of different components that are left in lists: members outside a list's largest component with all."""
     largest = lists.groupBy("post", "la").agg(F.count("*").alias("k")).groupBy("post").agg(F.max_by("la", F.struct("k", "la")).alias("major"))
     side = lists.join(stored(largest, "mh-major"), "post")
-    few = side.where("la <> major").select("post", F.col("key").alias("a"), F.col("la").alias("l1"), F.col("n").alias("n1"), F.col("core").alias("c1"))
-    every = side.select("post", F.col("key").alias("f"), F.col("la").alias("l2"), "major", F.col("n").alias("n2"), F.col("core").alias("c2"), "sized")
-    fits = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) AND (NOT sized OR {100 + percent} * least(c1, c2) >= {percent} * (n1 + n2))"
+    few = side.where("la <> major").select("post", F.col("key").alias("a"), F.col("la").alias("l1"), F.col("n").alias("n1"), F.col("core").alias("c1"), F.col("side").alias("s1"))
+    every = side.select("post", F.col("key").alias("f"), F.col("la").alias("l2"), "major", F.col("n").alias("n2"), F.col("core").alias("c2"), F.col("side").alias("s2"))
+    fits = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) AND (s1 = 2 OR s1 <> s2 AND {100 + percent} * least(c1, c2) >= {percent} * (n1 + n2))"
     return few.join(every, "post").where(f"l1 <> l2 AND (l2 = major OR a < f) AND {fits}").select("a", "f").distinct()
 
 
@@ -262,9 +259,9 @@ def _link(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[Da
         labels = components(union)
         discard(union)
         links = labels.select(F.col("key").alias("a"), F.col("label").alias("b")).where("a <> b")
-        narrow = _narrowed(star, labels, percent)
+        narrow, left = _narrowed(star, labels, percent)
         discard(lists, leaders, pairs, star)
-        lists, left = narrow, _pairs_left(narrow)
+        lists = narrow
         if left <= first:
             break
     if left:
