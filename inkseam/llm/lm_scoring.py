@@ -96,12 +96,16 @@ class Lattice:
         self.bytes = place[np.where(utf8 > 255, 256, utf8)].astype(np.int32)
         self.weigh(logp)
 
-    def weigh(self, logp: np.ndarray) -> None:
-        self.logp = logp
+    def weighed(self, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of the pieces, and of each sign spelled in bytes."""
         padded = np.append(logp, 0.0)  # place -1: no byte there
-        self.spelled = padded[self.bytes].sum(axis=1)
-        self.spelled[self.bytes[:, 0] < 0] = -np.inf
-        self.spelled[_PAD] = -np.inf
+        spelled = padded[self.bytes].sum(axis=1)
+        spelled[self.bytes[:, 0] < 0] = -np.inf
+        spelled[_PAD] = -np.inf
+        return logp, spelled
+
+    def weigh(self, logp: np.ndarray) -> None:
+        self.logp, self.spelled = self.weighed(logp)
 
     def _groups(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
@@ -168,6 +172,16 @@ class Lattice:
             out[part] = alpha[sizes, np.arange(len(part))] / np.log(10)
         return out
 
+    def log10_each(self, words: list[str], weights: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """log10() under each of several weights from weighed(); pieces are looked up once."""
+        out = [np.empty(len(words)) for _ in weights]
+        for part, sizes, codes in self._groups(words):
+            arcs = self._arcs(codes)
+            for made, (self.logp, self.spelled) in zip(out, weights):
+                alpha, _ = self._forward(codes, arcs)
+                made[part] = alpha[sizes, np.arange(len(part))] / np.log(10)
+        return out
+
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all segmentations of the words, each word counted so often."""
         out = np.zeros(self.n + 1)
@@ -288,15 +302,13 @@ def score(docs: DataFrame, model_path: str, held_out: str, rounds: int = ROUNDS)
             if lattice is None:
                 pieces, of_byte, _, _ = pieces_of(model_path)
                 lattice = Lattice(pieces, of_byte, sent.value[0])
+                weights = [lattice.weighed(logp) for logp in sent.value]
             words = [w.decode() for w in batch.column("word").to_pylist()]
             at = [i for i, w in enumerate(words) if w]
-            both = []
-            for logp in sent.value:
-                lattice.weigh(logp)
-                own = np.full(len(words), logp[-1] / np.log(10))
-                if at:
-                    own[at] = lattice.log10([words[i] for i in at])
-                both.append(own)
+            both = [np.full(len(words), logp[-1] / np.log(10)) for logp in sent.value]
+            if at:
+                for own, found in zip(both, lattice.log10_each([words[i] for i in at], weights)):
+                    own[at] = found
             c = np.array(batch.column("c").to_pylist(), np.float64)
             whole = np.log10(np.maximum((1 - unseen) * c / max(n, 1), 1e-300))
             fitted = both[1] + log10(min(unseen, 1.0))
