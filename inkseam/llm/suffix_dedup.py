@@ -1,11 +1,13 @@
 r"""Exact removal of repeated byte strings with sharded suffix arrays.
 
 Every WIDTH-byte window of a text gets the least hash of the k-grams in it as its key, so equal windows have equal keys
-wherever they stand. Neighbouring windows with one key form a run; a run and its bytes are one context. Contexts that
-occur twice are repeated as a whole and need no comparison. Only keys that hold several different contexts do: one copy
-of each context goes to the key's shard, where a suffix array (induced sorting) and permuted common prefixes tell which
-windows also start elsewhere. Shards are bounded; a key with more bytes than a shard may hold is settled by counting the
-digests of its single windows instead, which spreads it over all tasks.
+wherever they stand. Neighbouring windows with one key, in which its gram first stands at one place, form a run; a run and
+its bytes are one context. Contexts that occur twice are repeated as a whole and need no comparison. Of keys that hold
+several different contexts, those contexts that share the bytes around the gram (bands) with another one go to the key's
+shard, one copy each, where a suffix array (induced sorting) and permuted common prefixes tell which windows also start
+elsewhere. A key that comes from a frequent phrase holds ever more contexts as the input grows, but few that share more
+than the phrase. Shards are bounded; a key with more bytes than a shard may hold is dealt by bands, and a band with more
+is settled by counting the digests of its single windows instead, which spreads it over all tasks.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ from inkseam.llm.suffix_array import common_prefixes, suffix_array
 WIDTH = 200
 #: Bytes of a k-gram; a window holds WIDTH - GRAM + 1 of them.
 GRAM = 24
-#: A shard's suffix array is built at this many bytes; keys with more bytes in different contexts count single windows.
+#: Ranges of the place of a window's least gram, which have a hash each.
+BANDS = 4
+#: A shard's suffix array is built at this many bytes; keys with more bytes in different contexts are dealt by bands, and
+#: bands with more count single windows.
 SHARD_BYTES = 1 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -52,13 +57,42 @@ def _least(h: np.ndarray, wide: int) -> np.ndarray:
     return np.minimum(back[: n - wide + 1], forth[wide - 1 : n])
 
 
-def runs(text: bytes, width: int = WIDTH) -> tuple[list[tuple[int, int, int, int, int, int]], list[tuple[int, int]]]:
-    """Contexts (key, digest high, digest low, first window, number of windows, state) of a text, and byte ranges that
-    are certainly repeated. state 1: a window may repeat inside the run; 2: every window does."""
+def _anchored(b: np.ndarray, at: np.ndarray, lo: int, windows: int, width: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Windows lo .. lo + windows - 1, whose least gram stands at several places lo + at, by the first of these places that
+    they hold: (first start, last start, place). Of a periodic stretch one period of windows stays; its bytes come second,
+    as every window there has a twin one period away."""
+    gap, stop = int(np.diff(at).min()), lo + windows - 1 + width
+    keep, sure = np.ones(windows, bool), []
+    same = (b[lo : stop - gap] == b[lo + gap : stop]).astype(np.int8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], same, [0]])))
+    for u, v in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        if v - u >= width + gap:
+            sure.append((lo + u, lo + v + gap))
+            keep[u + gap : v - width + gap + 1] = False
+    label = np.where(keep, np.searchsorted(at, np.arange(windows)), -1)
+    cuts = np.flatnonzero(label[1:] != label[:-1]) + 1
+    starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), windows]
+    return [(lo + x, lo + y - 1, lo + int(at[label[x]])) for x, y in zip(starts, ends) if label[x] >= 0], sure
+
+
+def _edges(width: int) -> list[tuple[int, int]]:
+    """Half-open ranges of the place of the least gram in a window, one for each band."""
+    cuts = [(width - GRAM + 1) * i // BANDS for i in range(BANDS + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def runs(text: bytes, width: int = WIDTH) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """Contexts of a text, and byte ranges that are certainly repeated.
+
+    A context is (key, digest high, digest low, first window, number of windows, 0, place of the key's gram counted from the
+    first window, a hash for each band or None). Its windows hold the gram first at that one place, so no two of them are
+    equal, and windows that are equal in two contexts hold it at the same distance from their start. A band is a range of
+    such distances; its hash is that of the bytes which all windows of the band have in common.
+    """
     n = len(text)
     if n < width:
         return [], []
-    from xxhash import xxh3_128_digest
+    from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
     b = np.frombuffer(text, np.uint8)
     wide = width - GRAM + 1
@@ -67,20 +101,22 @@ def runs(text: bytes, width: int = WIDTH) -> tuple[list[tuple[int, int, int, int
     cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
     starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(key)]
     keys = key[starts].view(np.int64).tolist()
+    edges = _edges(width)
     out, sure = [], []
     for m, k, lo, end in zip(key[starts], keys, starts, ends):
-        state, windows = 0, end - lo
-        inside = h[lo : end - 1 + wide] == m
-        if np.count_nonzero(inside) > 1:
-            state = 1
-            at = np.flatnonzero(inside)
-            gap = int(at[1] - at[0])
-            if windows >= 2 * gap and text[lo : end - 1 + width - gap] == text[lo + gap : end - 1 + width]:
-                # periodic: every window has a twin one period away, and one period of windows stands for all
-                sure.append((lo, end - 1 + width))
-                state, windows = 2, gap
-        digest = xxh3_128_digest(text[lo : lo + windows - 1 + width])
-        out.append((k, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), lo, windows, state))
+        at = np.flatnonzero(h[lo : end - 1 + wide] == m)
+        if len(at) == 1:
+            parts = [(lo, end - 1, lo + int(at[0]))]
+        else:
+            parts, twins = _anchored(b, at, lo, end - lo, width)
+            sure += twins
+        for x, y, p in parts:
+            digest = xxh3_128_digest(text[x : y + width])
+            bands = [
+                (xxh3_64_intdigest(text[p - near : p + width - far + 1]) & 0xFFFFFFFF) - (1 << 31) if max(x, p - far + 1) <= min(y, p - near) else None
+                for near, far in edges
+            ]
+            out.append((k, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), x, y - x + 1, 0, p - x, *bands))
     return out, sure
 
 
@@ -102,9 +138,11 @@ def repeated_in(contexts: list[bytes], wanted: list[bool], width: int = WIDTH) -
     return out
 
 
-_RUN = "row long, key long, d1 long, d2 long, lo int, windows int, state int"
-_RUN_NAMES = ["row", "key", "d1", "d2", "lo", "windows", "state"]
-_RUN_TYPES = [pa.int64()] * 4 + [pa.int32()] * 3
+_BANDS = [f"b{i}" for i in range(BANDS)]
+_RUN = "row long, key long, d1 long, d2 long, lo int, windows int, state int, off int, " + ", ".join(f"{c} int" for c in _BANDS)
+_RUN_NAMES = ["row", "key", "d1", "d2", "lo", "windows", "state", "off", *_BANDS]
+_RUN_TYPES = [pa.int64()] * 4 + [pa.int32()] * (4 + BANDS)
+_NO_BANDS = (0, *[None] * BANDS)
 
 
 def _fingerprint(text: bytes) -> int:
@@ -126,28 +164,45 @@ def _contexts(rows: DataFrame, width: int) -> DataFrame:
                     found, sure = runs(text, width)
                     out += [(row, *x) for x in found]
                     # a key of its own: it meets no context
-                    out += [(row, row, a, b, a, b - a, 9) for a, b in sure]
+                    out += [(row, row, a, b, a, b - a, 9, *_NO_BANDS) for a, b in sure]
                     if found:
-                        out.append((row, row, _fingerprint(text), 0, 0, 0, 8))
+                        out.append((row, row, _fingerprint(text), 0, 0, 0, 8, *_NO_BANDS))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _RUN_TYPES)], names=_RUN_NAMES)
 
     return rows.mapInArrow(run, _RUN)
 
 
+_PIECE = ("key", "d1", "lo", "windows", "off", "low", "high", "single")
+
+
+def _with_texts(texts: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(row, text, pieces): each text once, with the list of its pieces, at most as many as it has windows and bands."""
+    return texts.join(pieces.groupBy("row").agg(F.collect_list(F.struct(*_PIECE)).alias("pieces")), "row")
+
+
+def _cut(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, bytes, dict, int, int]]:
+    """(row, text, piece, first window, last window) of the bands asked for, all of whose contexts are checked."""
+    from xxhash import xxh3_128_digest
+
+    edges = _edges(width)
+    for row, text, pieces in zip(batch.column("row").to_pylist(), text_bytes(batch), batch.column("pieces").to_pylist()):
+        for x in pieces:
+            lo, last, place = x["lo"], x["lo"] + x["windows"] - 1, x["lo"] + x["off"]
+            if int.from_bytes(xxh3_128_digest(text[lo : last + width])[:8], "little", signed=True) != x["d1"]:
+                raise ValueError(MOVED)
+            yield row, text, x, max(lo, place - edges[x["high"]][1] + 1), min(last, place - edges[x["low"]][0])
+
+
 def _sharded(asked: DataFrame, width: int, shard_bytes: int) -> DataFrame:
-    """(row, start, end) repeated byte ranges of the contexts asked for: (row, text, key, d1, lo, windows, single)."""
+    """(row, start, end) repeated byte ranges of the pieces asked for: (row, text, pieces)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
-        for batch in batches:
-            texts, los, sizes = text_bytes(batch), batch.column("lo").to_pylist(), batch.column("windows").to_pylist()
-            parts = [t[lo : lo + k - 1 + width] for t, lo, k in zip(texts, los, sizes)]
-            for part, d1 in zip(parts, batch.column("d1").to_pylist()):
-                if int.from_bytes(xxh3_128_digest(part)[:8], "little", signed=True) != d1:
-                    raise ValueError(MOVED)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), batch.column("lo"), batch.column("single"), pa.array(parts, pa.binary())], names=["row", "key", "lo", "single", "context"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                out = [(row, x["key"], a, x["single"], text[a : b + width]) for row, text, x, a, b in _cut(whole.slice(start, 500), width)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "lo", "single", "context"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -175,17 +230,16 @@ def _sharded(asked: DataFrame, width: int, shard_bytes: int) -> DataFrame:
 
 
 def _counted(asked: DataFrame, width: int) -> DataFrame:
-    """The same for keys too large for a shard: digests of single windows are counted, with partial counts first."""
+    """The same for bands too large for a shard: digests of single windows are counted, with partial counts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for whole in batches:
-            for start in range(0, whole.num_rows, 100):
-                batch = whole.slice(start, 100)
+            for start in range(0, whole.num_rows, 20):
                 rows, los, digests = [], [], []
-                for row, text, lo, k in zip(batch.column("row").to_pylist(), text_bytes(batch), batch.column("lo").to_pylist(), batch.column("windows").to_pylist()):
-                    for i in range(lo, lo + k):
+                for row, text, _, a, b in _cut(whole.slice(start, 20), width):
+                    for i in range(a, b + 1):
                         rows.append(row)
                         los.append(i)
                         digests.append(xxh3_128_digest(text[i : i + width]))
@@ -214,31 +268,51 @@ def mark(docs: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) ->
     texts = keyed.select(F.col(row).alias("row"), "text")
     every = stored(_contexts(texts, width), "sd-contexts")
     # most keys stand once: only rows of the others are looked at again
-    contexts = every.where("state < 8")
-    met = contexts.groupBy("key").agg(F.count("*").alias("n"), F.max(F.when(F.col("state") == 1, 1).otherwise(0)).alias("inner")).where("n > 1 OR inner = 1").select("key")
+    contexts = every.where("state < 8").drop("state")
+    met = contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     again = stored(contexts.join(met, "key", "left_semi"), "sd-met")
     sure = every.where("state = 9").select("row", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("windows")).cast("long").alias("end"))
     sure = stored(sure, "sd-sure")
     hashes = stored(every.where("state = 8").select("row", F.col("d1").alias("hash")), "sd-hashes")
     discard(every)
-    kinds = again.groupBy("key", "d1", "d2").agg(F.count("*").alias("times"), F.max(F.when(F.col("state") == 1, 1).otherwise(0)).alias("inner"), F.first(F.struct("row", "lo", "windows")).alias("one"))
-    kinds = stored(kinds, "sd-kinds")
-    keys = kinds.groupBy("key").agg(F.count("*").alias("different"), F.sum(F.col("one.windows") + F.lit(width)).alias("bytes"), F.max("inner").alias("inner")).where("different > 1 OR inner = 1")
+    kinds = again.groupBy("key", "d1", "d2").agg(F.count("*").alias("times"), F.first(F.struct("row", "lo", "windows", "off", *_BANDS)).alias("one"))
+    kinds = stored(kinds.select("key", "d1", "d2", "times", "one.*"), "sd-kinds")
     whole = again.join(kinds.where("times > 1").select("key", "d1", "d2"), ["key", "d1", "d2"], "left_semi")
     whole = stored(whole.select("row", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("windows") - 1 + width).cast("long").alias("end")), "sd-whole")
     discard(again)
-    asked = stored(kinds.join(keys, "key").select("one.row", "key", "d1", "one.lo", "one.windows", "bytes", (F.col("times") == 1).alias("single")), "sd-asked")
+    # windows of two contexts can be equal only in a band whose hash both have
+    hashed = kinds.select("key", "d1", "d2", "times", "row", "lo", "windows", "off", F.posexplode(F.array(*_BANDS)).alias("band", "hash")).where("hash IS NOT NULL")
+    shared = hashed.groupBy("key", "band", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    asked = hashed.join(shared, ["key", "band", "hash"], "left_semi").groupBy("key", "d1", "d2").agg(
+        F.first(F.struct("row", "lo", "windows", "off", (F.col("times") == 1).alias("single"))).alias("one"), F.collect_list(F.struct("band", "hash")).alias("bands")
+    )
+    low, high = F.array_min("bands.band").alias("low"), F.array_max("bands.band").alias("high")
+    asked = stored(asked.select("key", "d1", "one.*", "bands", low, high), "sd-asked")
     discard(kinds)
-    small = stored(_sharded(texts.join(asked.where(F.col("bytes") <= shard_bytes), "row"), width, shard_bytes), "sd-small")
+    most = max(far - near for near, far in _edges(width))
+    size = F.least(F.col("windows"), (F.col("high") - F.col("low") + 1) * most).cast("long") + width
+    hot = stored(asked.groupBy("key").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > shard_bytes).select("key"), "sd-hot")
+    pieces, large, used = asked.select("row", *_PIECE), None, [sure, whole, asked, hashes, hot]
+    if hot.limit(1).count():
+        # a key with more bytes than a shard holds is dealt by the hashes of its bands
+        fine = asked.join(hot, "key", "left_semi").select("row", "key", "d1", "lo", "windows", "off", "single", F.explode("bands").alias("b"))
+        fine = fine.select("row", F.xxhash64("key", "b.band", "b.hash").alias("key"), "d1", "lo", "windows", "off", "single", F.col("b.band").alias("low"), F.col("b.band").alias("high"))
+        fine = stored(fine, "sd-fine")
+        over = stored(fine.groupBy("key").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > shard_bytes).select("key"), "sd-over")
+        pieces = pieces.join(hot, "key", "left_anti").unionByName(fine.join(over, "key", "left_anti").select("row", *_PIECE))
+        used += [fine, over]
+        if over.limit(1).count():
+            large = fine.join(over, "key", "left_semi")
+    small = stored(_sharded(_with_texts(texts, pieces), width, shard_bytes), "sd-small")
     spans = sure.unionByName(whole).unionByName(small)
-    large = asked.where(F.col("bytes") > shard_bytes)
-    counted = None
-    if large.limit(1).count():
-        counted = stored(_counted(texts.join(large, "row"), width), "sd-large")
+    used.append(small)
+    if large is not None:
+        counted = stored(_counted(_with_texts(texts, large), width), "sd-large")
         spans = spans.unionByName(counted)
+        used.append(counted)
     # neighbouring contexts overlap: one list of ranges for each row, at most as many as the row has windows
     listed = stored(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(hashes, "row"), "sd-spans")
-    discard(sure, whole, small, asked, hashes, *([] if counted is None else [counted]))
+    discard(*used)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
