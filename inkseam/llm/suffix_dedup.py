@@ -31,6 +31,8 @@ BANDS = 4
 #: A shard's suffix array is built at this many bytes; keys with more bytes in different contexts are dealt by bands, and
 #: bands with more count single windows.
 SHARD_BYTES = 1 << 20
+#: Whole keys share one suffix array until it has so many bytes; larger arrays leave the processor's caches.
+ARRAY_BYTES = 1 << 18
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -173,6 +175,20 @@ def _contexts(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, _RUN)
 
 
+def shards(contexts: Iterator[tuple], least: int) -> Iterator[list[tuple]]:
+    """Contexts (key, ..., bytes), sorted by key, in lists of whole keys; a list ends with the key that brings it to `least` bytes."""
+    held: list[tuple] = []
+    size = 0
+    for x in contexts:
+        if held and x[0] != held[-1][0] and size >= least:
+            yield held
+            held, size = [], 0
+        held.append(x)
+        size += len(x[-1]) + 1
+    if held:
+        yield held
+
+
 _PIECE = ("key", "d1", "lo", "windows", "off", "low", "high", "single")
 
 
@@ -205,24 +221,13 @@ def _sharded(asked: DataFrame, width: int, shard_bytes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "lo", "single", "context"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
-
-        def flush() -> pa.RecordBatch:
-            found = repeated_in([x[3] for x in held], [x[2] for x in held], width)
-            out = [(x[0], x[1] + a, x[1] + b - 1 + width) for x, ranges in zip(held, found) for a, b in ranges]
+        def settled(held: list[tuple]) -> pa.RecordBatch:
+            found = repeated_in([x[4] for x in held], [x[3] for x in held], width)
+            out = [(x[1], x[2] + a, x[2] + b - 1 + width) for x, ranges in zip(held, found) for a, b in ranges]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["row", "start", "end"])
 
-        for batch in batches:
-            for row, key, lo, single, context in zip(*(batch.column(c).to_pylist() for c in ("row", "key", "lo", "single", "context"))):
-                if key != last and size >= shard_bytes:
-                    yield flush()
-                    held, size = [], 0
-                last = key
-                held.append((row, lo, single, context))
-                size += len(context) + 1
-        if held:
-            yield flush()
+        rows = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "lo", "single", "context"))))
+        yield from map(settled, shards(rows, min(shard_bytes, ARRAY_BYTES)))
 
     cutouts = asked.mapInArrow(cut, "row long, key long, lo int, single boolean, context binary")
     n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -58,3 +58,16 @@ def test_a_shared_phrase_needs_no_comparison(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_counted", lambda asked, *rest: counted.append(asked.count()) or by_window(asked, *rest))
     out = suffix_dedup.mark(_docs(spark, _texts(40, 1)), WIDTH, 2000).agg({"sd_n_removed": "sum"}).first()[0]
     assert (out, compared, counted) == (0, [0], [])
+
+
+def test_shards_hold_whole_keys():
+    pick = random.Random(2)
+    given = [(k, i, b"x" * pick.randint(200, 376)) for k in range(400) for i in range(pick.randint(1, 30))]
+    made = list(suffix_dedup.shards(iter(given), 20_000))
+    assert [x for held in made for x in held] == given
+    assert sum(len({x[0] for x in held}) for held in made) == 400
+    for held in made[:-1]:
+        last = [x for x in held if x[0] == held[-1][0]]
+        size = sum(len(x[-1]) + 1 for x in held)
+        assert size >= 20_000 > size - sum(len(x[-1]) + 1 for x in last)
+    assert suffix_dedup.ARRAY_BYTES < suffix_dedup.SHARD_BYTES and list(suffix_dedup.shards(iter([]), 5)) == []
