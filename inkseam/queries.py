@@ -71,8 +71,7 @@ def analyze_no_stem(spark, sf_dir):
 
 
 def analyze(spark, sf_dir):
-    rows = analysis.analyze(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("t"))
-    return rows.select("doc_id", F.array_join(F.col("t.term"), " ").alias("terms"))
+    return _joined(analysis.with_terms(_docs(spark, sf_dir).select("doc_id", "body")).where(F.size("terms") > 0), "terms")
 
 
 def porter_stem(spark, sf_dir):
