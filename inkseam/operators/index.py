@@ -2,6 +2,9 @@
 
 postings(term, doc_id, tf, dl, impact), docs(doc_id, ext_id, dl), terms(term, df, idf, max_score),
 tiles(term, tile, tile_max), meta(one row), and texts(doc_id, body) if asked for.
+
+An index that is built is one stored row for each document, with its distinct terms and their counts; its tables follow
+from that when they are asked for, each with one shuffle of postings, by term. A saved index has them as files.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkseam.functions.analysis import with_stems, with_words
+from inkseam.functions.analysis import stemmed, with_terms
 from inkseam.functions.scoring import BM25, idf, term_score
 from inkseam.scratch import keep
 
@@ -29,40 +32,49 @@ class Index:
     tiles: DataFrame
     meta: dict
     texts: DataFrame | None = None
+    #: (term, doc_id, tf, dl) and (term, df, idf), where they can be had with less work than postings and terms.
+    counts: DataFrame | None = None
+    weights: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        self.counts = self.counts or self.postings.select("term", "doc_id", "tf", "dl")
+        self.weights = self.weights or self.terms.select("term", "df", "idf")
 
     @property
     def bm25(self) -> BM25:
         return BM25(self.meta["k1"], self.meta["b"])
 
 
-def tf_of_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, tf): one row for each distinct word of a document; counts are combined before the shuffle."""
-    return docs.select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+def _of_counts(counts: DataFrame, docs: DataFrame, n: int, t: int, bm25: BM25, tile: int) -> Index:
+    """Index of (term, doc_id, tf, dl) and (doc_id, ext_id, dl): n documents of t terms in all."""
+    avgdl = t / n if n else 0.0
+    weights = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf(F.lit(float(n)), F.col("df")))
+    # the length travels with the posting: scoring needs no join with docs
+    postings = counts.join(weights, "term").select("term", "doc_id", "tf", "dl", term_score(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(avgdl), bm25).alias("impact"))
+    tiles = postings.groupBy("term", F.expr(f"doc_id DIV {tile}").alias("tile")).agg(F.max("impact").alias("tile_max"))
+    terms = weights.join(postings.groupBy("term").agg(F.max("impact").alias("max_score")), "term").select("term", "df", "idf", "max_score")
+    meta = {"version": VERSION, "n_docs": n, "total_terms": t, "avgdl": avgdl, "k1": bm25.k1, "b": bm25.b, "tile": tile}
+    return Index(postings, docs, terms, tiles, meta, None, counts, weights)
 
 
-def invert(worded: DataFrame, bm25: BM25 = BM25(), tile: int = TILE) -> Index:
-    """Index of (doc_id, ext_id, words). Documents without words keep a row in docs and count for the average length."""
-    # text analysis is the costly part: it runs once, and no later plan carries its expressions
-    worded = keep(worded.select("doc_id", "ext_id", "words"), "words")
-    docs = worded.select("doc_id", "ext_id", F.size("words").alias("dl"))
+def _of_rows(rows: DataFrame, bm25: BM25, tile: int) -> Index:
+    """Index of (doc_id, ext_id, dl, terms, tfs). Documents without terms keep a row in docs and count for the average length."""
+    # text analysis is the costly part: it runs once
+    rows = keep(rows, "rows")
+    docs = rows.select("doc_id", "ext_id", "dl")
     total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
-    avgdl = total.t / total.n if total.n else 0.0
-    counts = tf_of_words(worded)
-    stems = keep(with_stems(worded.select(F.explode("words").alias("word")).distinct()), "stems")
-    tf = counts.join(stems, "word").groupBy("term", "doc_id").agg(F.sum("tf").cast("int").alias("tf"))
-    # the length travels with the posting: scoring needs no join
-    sized = keep(tf.join(docs.select("doc_id", "dl"), "doc_id"), "postings")
-    df = sized.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf(F.lit(float(total.n)), F.col("df")))
-    postings = sized.join(df, "term").select("term", "doc_id", "tf", "dl", term_score(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(avgdl), bm25).alias("impact"))
-    tiles = postings.groupBy("term", F.expr(f"doc_id DIV {tile}").alias("tile")).agg(F.max("impact").alias("tile_max"))
-    terms = df.join(tiles.groupBy("term").agg(F.max("tile_max").alias("max_score")), "term").select("term", "df", "idf", "max_score")
-    meta = {"version": VERSION, "n_docs": total.n, "total_terms": total.t, "avgdl": avgdl, "k1": bm25.k1, "b": bm25.b, "tile": tile}
-    return Index(postings, docs, terms, tiles, meta)
+    counts = rows.where("doc_id IS NOT NULL").select("doc_id", "dl", "tfs", F.posexplode("terms").alias("at", "term")).select("term", "doc_id", F.expr("tfs[at]").alias("tf"), "dl")
+    return _of_counts(counts, docs, total.n, total.t, bm25, tile)
+
+
+def invert(worded: DataFrame, bm25: BM25 = BM25(), tile: int = TILE) -> Index:
+    """Index of (doc_id, ext_id, words), words before stemming."""
+    return _of_rows(stemmed(worded.select("doc_id", "ext_id", "words"), counted=True), bm25, tile)
 
 
 def build(docs: DataFrame, bm25: BM25 = BM25(), tile: int = TILE, store_text: bool = False) -> Index:
     """Index of (doc_id, ext_id, body)."""
-    out = invert(with_words(docs, "body").select("doc_id", "ext_id", "words"), bm25, tile)
+    out = _of_rows(with_terms(docs.select("doc_id", "ext_id", "body"), counted=True), bm25, tile)
     out.texts = docs.select("doc_id", "body") if store_text else None
     return out
 
@@ -102,27 +114,41 @@ def open_index(spark: SparkSession, path: str) -> Index:
 
 
 def check(index: Index) -> list[str]:
-    """What is wrong with an index; empty if nothing is. Each invariant is one aggregate or one anti-join."""
+    """What is wrong with an index; empty if nothing is. Postings are read once by term, and once for their documents."""
     n, t = index.meta["n_docs"], index.meta["total_terms"]
     docs = index.docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t"), F.countDistinct("doc_id").alias("d")).first()
     wrong = []
     if (docs.n, docs.t, docs.d) != (n, t, n):
         wrong.append("docs: count, ids or lengths differ from meta")
-    if index.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).first().t != t:
+    bad = F.coalesce((F.col("tf") < 1) | F.isnan("impact"), F.lit(True))
+    pairs = index.postings.groupBy("term", "doc_id").agg(F.count("*").alias("c"), F.sum("tf").alias("t"), F.max("impact").alias("m"), F.max(bad).alias("bad"))
+    own = pairs.groupBy("term", F.expr(f"doc_id DIV {index.meta['tile']}").alias("tile")).agg(F.sum("c").alias("d"), F.max("c").alias("c"), F.sum("t").alias("t"), F.max("m").alias("m"), F.max("bad").alias("bad"))
+    tiles = own.join(index.tiles, ["term", "tile"], "full").withColumn("off", ~F.col("tile_max").eqNullSafe(F.col("m")))
+    found = tiles.groupBy("term").agg(F.sum("d").alias("d"), F.max("c").alias("c"), F.sum("t").alias("t"), F.max("m").alias("m"), F.max("bad").alias("bad"), F.max("off").alias("off"))
+    listed = index.terms.groupBy("term").agg(F.count("*").alias("n"), F.max("df").alias("df"), F.max("max_score").alias("max_score"), F.max(F.coalesce((F.col("df") < 1) | (F.col("df") > n), F.lit(True))).alias("out"))
+    differs = ~(F.col("df").eqNullSafe(F.col("d")) & F.col("max_score").eqNullSafe(F.col("m")))
+    none = lambda c: F.coalesce(c, F.lit(False))
+    got = found.join(listed, "term", "full").agg(
+        F.coalesce(F.sum("t"), F.lit(0)).alias("t"),
+        none(F.max(F.col("c") > 1)).alias("twice"),
+        none(F.max((F.col("n") > 1) | F.col("out"))).alias("terms"),
+        none(F.max(differs)).alias("differs"),
+        none(F.max("off")).alias("off"),
+        none(F.max("bad")).alias("bad"),
+    ).first()
+    if got.t != t:
         wrong.append("postings: counts don't add up to the total length")
-    if index.postings.groupBy("term", "doc_id").count().where("count > 1").limit(1).count():
+    if got.twice:
         wrong.append("postings: a pair stands twice")
-    if index.terms.groupBy("term").count().where("count > 1").limit(1).count() or index.terms.where(f"df < 1 OR df > {n}").limit(1).count():
+    if got.terms:
         wrong.append("terms: repeated, or df out of range")
-    found = index.postings.groupBy("term").agg(F.count("*").alias("d"), F.max("impact").alias("m"))
-    if index.terms.join(found, "term", "full").where("NOT (df <=> d) OR NOT (max_score <=> m)").limit(1).count():
+    if got.differs:
         wrong.append("terms: df or max_score differ from the postings")
-    tiles = index.postings.groupBy("term", F.expr(f"doc_id DIV {index.meta['tile']}").alias("tile")).agg(F.max("impact").alias("m"))
-    if index.tiles.join(tiles, ["term", "tile"], "full").where("NOT (tile_max <=> m)").limit(1).count():
+    if got.off:
         wrong.append("tiles: maxima differ from the postings")
-    if index.postings.join(index.docs, "doc_id", "left_anti").limit(1).count():
+    if index.counts.select("doc_id").distinct().join(index.docs, "doc_id", "left_anti").limit(1).count():
         wrong.append("postings: unknown document")
-    if index.postings.where("tf < 1 OR isnan(impact)").limit(1).count():
+    if got.bad:
         wrong.append("postings: bad count or impact")
     return wrong
 
@@ -146,19 +172,11 @@ def from_gaps(coded: DataFrame) -> DataFrame:
 
 def merge(parts: list[Index], bm25: BM25 = BM25()) -> Index:
     """Indexes one after the other: document ids of each follow those of the parts before it."""
-    base, postings, docs = 0, None, None
+    base, total, counts, docs = 0, 0, None, None
     for p in parts:
-        moved = p.postings.select("term", (F.col("doc_id") + base).alias("doc_id"), "tf", "dl")
+        moved = p.counts.select("term", (F.col("doc_id") + base).alias("doc_id"), "tf", "dl")
         own = p.docs.select((F.col("doc_id") + base).alias("doc_id"), "ext_id", "dl")
-        postings = moved if postings is None else postings.unionByName(moved)
+        counts = moved if counts is None else counts.unionByName(moved)
         docs = own if docs is None else docs.unionByName(own)
-        base += p.meta["n_docs"]
-    total = sum(p.meta["total_terms"] for p in parts)
-    avgdl = total / base if base else 0.0
-    tile = parts[0].meta["tile"]
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf(F.lit(float(base)), F.col("df")))
-    scored = postings.join(df, "term").select("term", "doc_id", "tf", "dl", term_score(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(avgdl), bm25).alias("impact"))
-    tiles = scored.groupBy("term", F.expr(f"doc_id DIV {tile}").alias("tile")).agg(F.max("impact").alias("tile_max"))
-    terms = df.join(tiles.groupBy("term").agg(F.max("tile_max").alias("max_score")), "term").select("term", "df", "idf", "max_score")
-    meta = {"version": VERSION, "n_docs": base, "total_terms": total, "avgdl": avgdl, "k1": bm25.k1, "b": bm25.b, "tile": tile}
-    return Index(scored, docs, terms, tiles, meta)
+        base, total = base + p.meta["n_docs"], total + p.meta["total_terms"]
+    return _of_counts(counts, docs, base, total, bm25, parts[0].meta["tile"])

@@ -28,12 +28,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The index of documents, persisted for the session: many queries ask for it."""
+    """The index of documents, kept for the session: many queries ask for it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
-        worded = analysis.with_words(_docs(spark, sf_dir)).select("doc_id", "ext_id", "words")
-        built = index.invert(worded)
-        _kept[key] = index.Index(built.postings.persist(), built.docs, built.terms.persist(), built.tiles.persist(), built.meta, _docs(spark, sf_dir).select("doc_id", "body"))
+        _kept[key] = index.build(_docs(spark, sf_dir), store_text=True)
     return _kept[key]
 
 
@@ -80,7 +78,7 @@ def porter_stem(spark, sf_dir):
 
 
 def postings_tf(spark, sf_dir):
-    return _index(spark, sf_dir).postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+    return _index(spark, sf_dir).counts.select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
 
 
 def doc_lengths(spark, sf_dir):
@@ -90,15 +88,15 @@ def doc_lengths(spark, sf_dir):
 def corpus_stats(spark, sf_dir):
     found = _index(spark, sf_dir)
     docs = found.docs.agg(F.count("*").alias("n_docs"), F.sum("dl").cast("long").alias("total_terms"), F.round(F.sum("dl") / F.count("*"), 6).alias("avgdl"))
-    return docs.crossJoin(F.broadcast(found.terms.agg(F.count("*").alias("n_terms"), F.sum("df").cast("long").alias("n_postings"))))
+    return docs.crossJoin(F.broadcast(found.weights.agg(F.count("*").alias("n_terms"), F.sum("df").cast("long").alias("n_postings"))))
 
 
 def term_df(spark, sf_dir):
-    return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf_dir).weights.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def vocabulary(spark, sf_dir):
-    return _index(spark, sf_dir).terms.select("term").orderBy("term")
+    return _index(spark, sf_dir).weights.select("term").orderBy("term")
 
 
 def query_term_counts(spark, sf_dir):
@@ -160,20 +158,20 @@ def skip_entries(spark, sf_dir):
 
 
 def gap_encode(spark, sf_dir):
-    return index.gaps(_index(spark, sf_dir).postings).select("term", "doc_id", "gap")
+    return index.gaps(_index(spark, sf_dir).counts).select("term", "doc_id", "gap")
 
 
 def gap_decode(spark, sf_dir):
-    coded = index.gaps(_index(spark, sf_dir).postings).withColumn("pos", F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))).select("term", "pos", "gap")
+    coded = index.gaps(_index(spark, sf_dir).counts).withColumn("pos", F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))).select("term", "pos", "gap")
     return index.from_gaps(coded).select("term", "pos", "doc_id")
 
 
 def term_lookup(spark, sf_dir):
-    return _index(spark, sf_dir).postings.where(F.col("term").isin(*TERMS)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+    return _index(spark, sf_dir).counts.where(F.col("term").isin(*TERMS)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
 
 
 def doc_range_seek(spark, sf_dir):
-    return _index(spark, sf_dir).postings.where(F.col("term").isin(*TERMS) & (F.col("doc_id") >= 100)).select("term", "doc_id")
+    return _index(spark, sf_dir).counts.where(F.col("term").isin(*TERMS) & (F.col("doc_id") >= 100)).select("term", "doc_id")
 
 
 def result_with_text(spark, sf_dir):
@@ -244,8 +242,8 @@ def index_merge(spark, sf_dir):
     """Two halves indexed on their own and merged: the same postings as one index."""
     docs = _docs(spark, sf_dir)
     n = (docs.agg(F.max("doc_id")).first()[0] or 0) // 2
-    halves = [analysis.with_words(docs.where(F.col("doc_id") <= n)), analysis.with_words(docs.where(F.col("doc_id") > n).withColumn("doc_id", F.col("doc_id") - n - 1))]
-    merged = index.merge([index.invert(h.select("doc_id", "ext_id", "words")) for h in halves])
+    halves = [docs.where(F.col("doc_id") <= n), docs.where(F.col("doc_id") > n).withColumn("doc_id", F.col("doc_id") - n - 1)]
+    merged = index.merge([index.build(h) for h in halves])
     return merged.postings.select("term", "doc_id", F.round("impact", 6).alias("impact"))
 
 
