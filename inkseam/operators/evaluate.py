@@ -25,17 +25,19 @@ def per_query(run: DataFrame, qrels: DataFrame, ndcg_at: int = 10, recall_at: tu
     Judgments (ext_id, grade) without qid hold for each of queries (qid); their ideal is then counted once.
     """
     gain = F.when((F.col("grade") >= RELEVANT) & (F.col("rank") <= ndcg_at), F.col("grade") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
+    # added in rank order, so that sums don't depend on the plan
+    gains = F.aggregate(F.array_sort(F.collect_list(F.when(F.col("rank") <= ndcg_at, F.struct("rank", gain.alias("x"))))), F.lit(0.0), lambda a, p: a + p.x)
     relevant = F.count_if(F.col("grade") >= RELEVANT).alias("relevant")
     if queries is None:
         best = qrels.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"), "ext_id")))
-        ideal = best.groupBy("qid").agg(F.sum(gain).alias("ideal"), relevant)
+        ideal = best.groupBy("qid").agg(gains.alias("ideal"), relevant)
     else:
         # ndcg_at rows at most are ranked
         best = qrels.orderBy(F.desc("grade"), "ext_id").limit(ndcg_at).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("grade"), "ext_id")))
-        once = best.agg(F.sum(gain).alias("ideal")).crossJoin(qrels.agg(relevant, F.count("*").alias("n"))).where("n > 0").drop("n")
+        once = best.agg(gains.alias("ideal")).crossJoin(qrels.agg(relevant, F.count("*").alias("n"))).where("n > 0").drop("n")
         ideal = queries.select("qid").distinct().crossJoin(F.broadcast(once))
     got = judged(run, qrels).groupBy("qid").agg(
-        F.sum(gain).alias("gained"),
+        gains.alias("gained"),
         *[F.count_if((F.col("grade") >= RELEVANT) & (F.col("rank") <= k)).alias(f"hits{k}") for k in recall_at],
         F.min(F.when((F.col("grade") >= RELEVANT) & (F.col("rank") <= mrr_at), F.col("rank"))).alias("first"),
     )
